@@ -73,18 +73,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each window of ``k`` words, in order; texts with fewer words have none."""
+def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array without nulls."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, ends, data = texts.buffers()
+    offsets = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the first word, hash) of each window of ``k`` words, in order; texts with
+    fewer words have none."""
     h, n = words.hashes(), len(words.codes)
     if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     acc = np.zeros(n - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i])
     owner = words.owner
-    inside = owner[: n - k + 1] == owner[k - 1 :]
-    return owner[: n - k + 1][inside], acc[inside]
+    inside = np.flatnonzero(owner[: n - k + 1] == owner[k - 1 :])
+    return owner[inside], inside, acc[inside]
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +105,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     A text with one to ``k - 1`` words has its whole sequence as its one shingle, a text without
     words none.
     """
-    owner, h = windows(words, k)
+    owner, _, h = windows(words, k)
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     if len(short):
         per_word = words.hashes()
