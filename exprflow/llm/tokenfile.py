@@ -194,7 +194,8 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     manifest = spark.read.parquet(f"{folder}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    read = manifest.repartition("shard").mapInArrow(
+    shards = max(1, manifest.count())  # a stated number of partitions, as a manifest is too small to be split by size
+    read = manifest.repartition(shards, "shard").mapInArrow(
         _reader(folder), "doc_id long, shard long, local_start long, n_tokens long, ids_crc32 long"
     )
     return read.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
