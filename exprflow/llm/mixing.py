@@ -74,16 +74,16 @@ def mix_plan(
     share: float = 1.0,
     max_epochs: float = 3.0,
     seed: str = "mix",
-    row: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words the mix takes of each row: (doc_id, source, size, source_size, target, taken).
 
     A null text has size 0 and takes nothing; an empty table gives an empty plan. Rows with equal
     doc_id have equal keys and follow each other by size; rows that are alike in all columns share
     the cut in any order, which gives the same multiset of rows. Other columns of ``docs`` are
-    ignored, whatever their names, but for ``row``, an id of rows that the plan then carries.
+    ignored, whatever their names, but for ``carry``, which the plan then holds.
     """
-    ids = ["doc_id"] + [row] * bool(row)
+    ids = ["doc_id", *carry]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = materialize(
         docs.select(*ids, "source", word_count(F.col("text")).alias("size")).select(
@@ -115,17 +115,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as whole epochs take it, and the row at a source's cut
     shortened to the words that are left. Returns the columns of ``docs``; ``n_chars`` follows the text.
 
-    Rows without words cost no budget and appear once.
+    Rows without words cost no budget and appear once. The plan joins back by two hashes of the row; rows that are
+    alike share what the plan takes of them, in any order.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = mix_plan(rows, row="_row", **options).select(F.col("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    times = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(1).cast("int")
+    key = [F.xxhash64("doc_id", "source", "text").alias("_k1"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("_k2")]
+    plan = mix_plan(docs.select("doc_id", "source", "text", *key), carry=("_k1", "_k2"), **options)
+    plan = plan.groupBy("_k1", "_k2").agg(F.first("size").alias("_size"), F.sum("taken").alias("_total"), F.count("*").alias("_same"))
+    alike = Window.partitionBy("_k1", "_k2")
+    rows = docs.select("*", *key).withColumn("_i", F.row_number().over(alike.orderBy("_k1")) - 1).join(plan, ["_k1", "_k2"])
+    size = F.col("_size")
+    epochs = F.when(size > 0, F.floor(F.col("_total") / (F.col("_same") * size))).otherwise(0).cast("long")
+    rest = F.col("_total") - epochs * F.col("_same") * size - F.col("_i") * size
+    rows = rows.withColumn("_taken", epochs * size + F.least(size, F.greatest(F.lit(0), rest)))
+    times = F.when(size > 0, F.ceil(F.col("_taken") / size)).otherwise(1).cast("int")
     repeated = (
-        rows.join(plan, "_row")
-        .where(times > 0)
+        rows.where(times > 0)
         .withColumn("_k", F.explode(F.sequence(F.lit(0), times - 1)))
-        .withColumn("_left", F.col("_taken") - F.col("_k") * F.col("_size"))
+        .withColumn("_left", F.col("_taken") - F.col("_k") * size)
     )
-    text = F.when(F.col("_left") < F.col("_size"), first_words(F.col("text"), F.col("_left"))).otherwise(F.col("text"))
+    text = F.when(F.col("_left") < size, first_words(F.col("text"), F.col("_left"))).otherwise(F.col("text"))
     out = repeated.withColumn("text", text).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
