@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .arrowtext import Words, split_words, windows
 
 #: Bytes of text in a chunk; hash ranges, at most.
-CHUNK_BYTES, MAX_BUCKETS = 24 << 20, 4096
+CHUNK_BYTES, MAX_BUCKETS = 10 << 20, 4096
 ALPHA = 0.4
 _BIGRAM = np.uint64(0xA24BAED4963EE407)
 
