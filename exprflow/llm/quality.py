@@ -221,7 +221,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns they came with."""
-    rules = fit_rules(materialize(quality_stats(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "quality-labelled"), labels, **options)
+    rules = fit_rules(materialize(quality_stats(docs), "quality-stats"), labels, **options)
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
