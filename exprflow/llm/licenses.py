@@ -113,14 +113,15 @@ def scan(words: Words, templates: dict[str, str], min_coverage: float) -> list[t
     for (doc, t), found in seeds.items():
         body = each[words.offsets[doc] : words.offsets[doc + 1]]
         found.sort()
+        band = min(BAND, max(1, len(hashes[t]) // 3))  # so a short notice twice in a row is two matches
         group = [found[0]]
         for s in [*found[1:], None]:
-            if s is not None and s[0] - group[-1][0] <= BAND:
+            if s is not None and s[0] - group[-1][0] <= band:
                 group.append(s)
                 continue
-            lo = max(0, group[0][0] - BAND)
-            hi = min(len(body), group[-1][0] + len(hashes[t]) + BAND)
-            matched, a, b = align(hashes[t], body[lo:hi])
+            lo = max(0, group[0][0] - band)
+            hi = min(len(body), group[-1][0] + len(hashes[t]) + band)
+            matched, a, b = align(hashes[t], body[lo:hi], band)
             if matched >= min_coverage * len(hashes[t]):
                 out.add((doc, names[t], matched, len(hashes[t]), lo + a, lo + b))
             group = [s]
