@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import cohorts as co
 from ..operators import labels as lb
 from ..operators import normalize as nm
 from ..operators import search as se
@@ -467,3 +468,25 @@ def gene_ecdf(spark, d):
     g = Window.partitionBy("platform", "gene")
     e = views.expression(spark, d).where("value is not null")
     return rounded(e.select("platform", "sample_id", "gene", (F.count("*").over(g.orderBy("value")) / F.count("*").over(g)).alias("ecdf")))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS cluster, c_mktsegment AS label, count(*) AS c FROM customer GROUP BY 1, 2),
+  s AS (SELECT cluster, sum(c)::BIGINT AS n_samples, list(label ORDER BY c DESC, label) FILTER (label IS NOT NULL) AS by_n, list(label ORDER BY label) FILTER (label IS NOT NULL) AS by_name FROM n GROUP BY 1)
+  SELECT cluster, n_samples, coalesce(by_n[1], '')[:100] AS representative_label, coalesce(array_to_string(by_name[1:3], '; '), '')[:200] AS sample_labels,
+  n_regionkey * 0.25::DOUBLE AS bootstrap_jaccard, coalesce(n_regionkey * 0.25::DOUBLE >= 0.6, false) AS stable FROM s LEFT JOIN nation ON cluster = n_nationkey""")
+def cohort_summaries(spark, d):
+    stability = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), (F.col("n_regionkey") * 0.25).alias("bootstrap_jaccard"))
+    return co.cohort_summary(read_table(spark, d, "customer"), "c_nationkey", "c_mktsegment", stability, 0.6)
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')), n AS (SELECT 'o_orderpriority' AS facet, o_orderpriority::VARCHAR AS value, count(*) AS n_rows FROM o GROUP BY 2
+  UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR, count(*) FROM o GROUP BY 2), r AS (SELECT *, (row_number() OVER (PARTITION BY facet ORDER BY n_rows DESC, value NULLS LAST))::INT AS rank,
+  count(value) OVER (PARTITION BY facet) AS n_unique FROM n) SELECT * FROM r WHERE rank <= 10""")
+def facet_counts(spark, d):
+    chosen = read_table(spark, d, "orders").where(co.match_all(o_orderstatus=["O", "F", None], o_orderpriority=None))
+    return co.facet_preview(chosen, ["o_orderpriority", "o_custkey"])
+
+
+@query()
+def pseudo_cohort_clusters(spark, d):
+    return co.pseudo_cohorts(read_table(spark, d, "embeddings"), "vec_id", "embedding", range(2, 6), seed=7)
