@@ -16,21 +16,21 @@ def two_groups(expr: DataFrame, case: Column, control: Column) -> DataFrame:
     return expr.withColumn("is_case", F.when(case, True).when(control, False)).where("is_case is not null and value is not null")
 
 
-def group_moments(rows: DataFrame) -> DataFrame:
+def group_moments(rows: DataFrame, by: tuple[str, ...] = ("gene",)) -> DataFrame:
     """n, mean and sample variance of both groups of each gene."""
     a, b = F.when(F.col("is_case"), F.col("value")), F.when(~F.col("is_case"), F.col("value"))
-    return rows.groupBy("gene").agg(
+    return rows.groupBy(*by).agg(
         F.count(a).alias("n1"), F.count(b).alias("n0"), F.avg(a).alias("m1"), F.avg(b).alias("m0"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v0")
     )
 
 
-def welch(rows: DataFrame) -> DataFrame:
+def welch(rows: DataFrame, by: tuple[str, ...] = ("gene",)) -> DataFrame:
     """Per gene: log_fc, t_stat, df (Welch-Satterthwaite); genes with fewer than two values a group are left out."""
-    m = group_moments(rows).where("n1 >= 2 and n0 >= 2")
+    m = group_moments(rows, by).where("n1 >= 2 and n0 >= 2")
     s1, s0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
     t = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(s1 + s0))
     df = F.try_divide((s1 + s0) * (s1 + s0), s1 * s1 / (F.col("n1") - 1) + s0 * s0 / (F.col("n0") - 1))
-    return m.select("gene", "n1", "n0", (F.col("m1") - F.col("m0")).alias("log_fc"), t.alias("t_stat"), df.alias("df"))
+    return m.select(*by, "n1", "n0", (F.col("m1") - F.col("m0")).alias("log_fc"), t.alias("t_stat"), df.alias("df"))
 
 
 def rank_genes(rows: DataFrame) -> DataFrame:
@@ -42,15 +42,26 @@ def rank_genes(rows: DataFrame) -> DataFrame:
 def benjamini_hochberg(rows: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``q_value``: min over larger p of p * m / rank, at most 1; null p stay out of m and get null.
 
-    Equal p share the last rank. The order statistics are of distinct p with their counts, so only distinct values meet.
+    Equal p share the last rank. Distinct p with their counts are ranged by a step function that is finer near 0;
+    ranks and running minima are taken inside a range and go on between ranges from one row a range, so no task
+    sees all p-values of a large family.
     """
     live = rows.where(F.col(p).isNotNull() & ~F.isnan(p))
-    n = live.groupBy(*by, p).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_ = Window.partitionBy(*by)
-    q = n.withColumn("_r", F.sum("_n").over(up)).withColumn("_m", F.sum("_n").over(all_))
-    q = q.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r")).select(*by, p, F.least(F.lit(1.0), F.min("_q").over(down)).alias("q_value"))
+    step = F.floor(F.col(p) * 1024) + F.floor(16 * F.log2(F.greatest(F.col(p), F.lit(1e-300))))
+    n = live.groupBy(*by, p).agg(F.count("*").alias("_n")).withColumn("_b", step)
+    ranges = Window.partitionBy(*by).orderBy("_b")
+    sums = n.groupBy(*by, "_b").agg(F.sum("_n").alias("_of_range"))
+    sums = sums.select(
+        *by, "_b", F.sum("_of_range").over(Window.partitionBy(*by)).alias("_m"),
+        F.coalesce(F.sum("_of_range").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+    )
+    inside = Window.partitionBy(*by, "_b").orderBy(p)
+    rank = F.col("_start") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    raw = n.join(sums, [*by, "_b"]).withColumn("_raw", F.col(p) * F.col("_m") / rank)
+    later = raw.groupBy(*by, "_b").agg(F.min("_raw").alias("_least"))
+    later = later.select(*by, "_b", F.min("_least").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    own = F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    q = raw.withColumn("_own", own).join(later, [*by, "_b"]).select(*by, p, F.least(F.lit(1.0), "_own", "_later").alias("q_value"))
     return rows.join(q, [*by, p], "left")
 
 
@@ -195,20 +206,54 @@ def volcano_class(q: Column, fold: Column, alpha: float = 0.05, least: float = 1
     return F.when((q < alpha) & (fold >= least), "up").when((q < alpha) & (fold <= 1 / least), "down").otherwise("ns")
 
 
-def enrichment_score(ranked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Running-sum enrichment score of each gene set over genes by descending value, weighted by |value|."""
-    genes = keep_best(ranked)
-    n = genes.agg(F.count("*").alias("n"))
-    place = genes.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("value"), "gene")))
-    hits = place.join(sets.select("term", F.upper("gene").alias("gene")).distinct(), "gene")
-    size = hits.groupBy("term").agg(F.count("*").alias("size"), F.sum(F.abs("value")).alias("mass"))
-    w = Window.partitionBy("term").orderBy("pos")
-    run = hits.join(size, "term").crossJoin(F.broadcast(n)).where("mass > 0")  # one row of the gene count
+def _running_score(hits: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
+    """The extreme of the running sum of each group of hits (pos, value, size): steps up by |value|, down by position."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    mass = hits.groupBy(*by).agg(F.sum(F.abs("value")).alias("mass")).where("mass > 0")
+    run = hits.join(mass, by).crossJoin(F.broadcast(n))  # one row of the gene count
     h, i = F.sum(F.abs("value")).over(w) / F.col("mass"), F.row_number().over(w)
     miss = (F.col("pos") - i) / F.greatest(F.col("n") - F.col("size"), F.lit(1))
-    at = run.select("term", "size", (h - miss).alias("up"), (h - F.abs("value") / F.col("mass") - miss).alias("down"))
-    s = at.groupBy("term", "size").agg(F.max("up").alias("hi"), F.min("down").alias("lo"))
-    return s.select("term", "size", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+    at = run.select(*by, "size", (h - miss).alias("up"), (h - F.abs("value") / F.col("mass") - miss).alias("down"))
+    s = at.groupBy(*by, "size").agg(F.max("up").alias("hi"), F.min("down").alias("lo"))
+    return s.select(*by, "size", F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+
+
+def _placed(ranked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genes by descending value with their place, members (term, gene, size), gene count). Genes are a list of names
+    of one organism, not rows of data, so one ordering of them is small."""
+    genes = keep_best(ranked.where("value is not null"))
+    place = genes.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("value"), "gene")))
+    members = sets.select("term", F.upper("gene").alias("gene")).distinct().join(genes.select("gene"), "gene")
+    size = members.groupBy("term").agg(F.count("*").alias("size"))
+    return place, members.join(size, "term"), genes.agg(F.count("*").alias("n"))
+
+
+def enrichment_score(ranked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Running-sum enrichment score of each gene set over genes by descending value, weighted by |value|."""
+    place, members, n = _placed(ranked, sets)
+    return _running_score(members.join(place, "gene"), n, ["term"])
+
+
+def prerank(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
+    """Enrichment scores with their null: term, size, es, nes, p_value, q_value.
+
+    In each permutation the genes change places by the order of a seeded hash, the same one in every run and for every
+    partitioning. nes is es over the mean |es| of the permutations with its sign, p_value the share of those that are as
+    far out (null if none has the sign), q_value Benjamini-Hochberg over the sets. Permutations are partitions of one job.
+    """
+    place, members, n = _placed(ranked, sets)
+    observed = _running_score(members.join(place, "gene"), n, ["term"])
+    turns = place.select("gene", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("turn"))
+    moved = F.row_number().over(Window.partitionBy("turn").orderBy(F.xxhash64("gene", "turn", F.lit(seed)), "gene"))
+    turns = turns.withColumn("pos", moved).join(place.select("pos", "value"), "pos")
+    null = _running_score(members.join(turns, "gene"), n, ["term", "turn"]).select("term", F.col("es").alias("null_es"))
+    both = observed.join(null, "term", "left")
+    same = F.when((F.col("es") >= 0) == (F.col("null_es") >= 0), F.abs("null_es"))
+    tested = both.groupBy("term", "size", "es").agg(
+        F.try_divide(F.col("es"), F.avg(same)).alias("nes"),
+        F.try_divide(F.count_if(same >= F.abs("es")), F.count(same)).alias("p_value"),
+    )
+    return benjamini_hochberg(tested, "p_value")
 
 
 def keep_best(ranked: DataFrame) -> DataFrame:

@@ -285,9 +285,7 @@ EFFECTS = f"""{X}, m AS (SELECT platform, gene, avg(value) FILTER (label = 0) -
 
 
 def effects(spark, d):
-    rows = pair(spark, d)
-    parts = [st.welch(rows.where(F.col("platform") == p)).select(F.lit(p).alias("platform"), "gene", "log_fc", "t_stat") for p in ("GPL_A", "GPL_B", "GPL_C")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return st.welch(pair(spark, d), ("platform", "gene")).select("platform", "gene", "log_fc", "t_stat")
 
 
 @query(f"{EFFECTS} SELECT gene, count(*) AS n_platforms, round(sum(t) / sqrt(count(*)), 6) AS z FROM e WHERE t IS NOT NULL GROUP BY 1")
