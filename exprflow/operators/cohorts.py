@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +70,19 @@ def cohort_summary(rows: DataFrame, cluster: str, label: str, stability: DataFra
     )
 
 
+def finite_points(vectors: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(key, features) of the vectors that are neither null nor hold null, NaN or infinite components, written once."""
+    finite = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return materialize(vectors.where(finite).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")), name)
+
+
 def pseudo_cohorts(vectors: DataFrame, key: str, vector: str, ks: Iterable[int], seed: int = 0) -> DataFrame:
     """(key, cluster, k): k-means with the k of the best silhouette, the smallest of equals.
 
     Both the fits and the silhouettes run as jobs over all vectors, of which only centres reach the driver. Null vectors
     and those with null, NaN or infinite components take no part; with fewer than two different vectors all are cluster 0.
     """
-    finite = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    points = materialize(vectors.where(finite).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")), "cohort-vectors")
+    points = finite_points(vectors, key, vector, "cohort-vectors")
     best = None
     for k in sorted(set(ks)):
         if k < 2 or len(points.select("features").distinct().head(k)) < k:
@@ -88,3 +94,47 @@ def pseudo_cohorts(vectors: DataFrame, key: str, vector: str, ks: Iterable[int],
     if best is None:
         return points.select(key, F.lit(0).alias("cluster"), F.lit(1).alias("k"))
     return best[2].select(key, "cluster", F.lit(best[1]).alias("k"))
+
+
+def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, replicates: int = 10, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """(cluster, bootstrap_jaccard) of the clusters in ``placed`` (key, cluster).
+
+    Each replicate clusters a seeded ``share`` of the points anew, and a cluster's score is its best Jaccard similarity with a
+    new cluster over the points of the replicate; scores are averaged. Overlaps are counts of cluster pairs, a few rows each.
+    """
+    points = finite_points(vectors, key, vector, "stability-vectors").join(placed.select(key, F.col("cluster").alias("base")), key)
+    points = materialize(points, "stability-points")
+    k = points.select("base").distinct().count()
+    scores = None
+    for r in range(replicates):
+        u = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
+        drawn = points.where(u < share)
+        if k < 2 or len(drawn.select("features").distinct().head(k)) < k:
+            again = drawn.withColumn("again", F.lit(0))
+        else:
+            again = KMeans(k=k, seed=seed + r, predictionCol="again").fit(drawn.select("features")).transform(drawn)
+        n = again.groupBy("base", "again").agg(F.count("*").alias("n"))
+        both = n.join(n.groupBy("base").agg(F.sum("n").alias("n1")), "base").join(n.groupBy("again").agg(F.sum("n").alias("n2")), "again")
+        one = both.groupBy("base").agg(F.max(F.col("n") / (F.col("n1") + F.col("n2") - F.col("n"))).alias("j"))
+        scores = one if scores is None else scores.unionByName(one)
+    return scores.groupBy(F.col("base").alias("cluster")).agg(F.avg("j").alias("bootstrap_jaccard"))
+
+
+def cohort_pairs(summary: DataFrame, min_size: int = 10, floor: float = 0.6) -> DataFrame:
+    """Pairs a < b of clusters with ``min_size`` samples and a stability of ``floor`` or more; one row a cluster meets another."""
+    fit = summary.where((F.col("n_samples") >= min_size) & (F.col("bootstrap_jaccard") >= floor))
+    a = fit.select(F.col("cluster").alias("a"), F.col("n_samples").alias("n_a"))
+    return a.join(fit.select(F.col("cluster").alias("b"), F.col("n_samples").alias("n_b")), F.col("a") < F.col("b"))
+
+
+def principal_components(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """(key, scores): the first ``k`` principal components of standardised vectors; constant dimensions count as 0.
+
+    Means, deviations and the covariance are sums over all vectors; only dimensions by dimensions reach the driver. Vectors with
+    null or non-finite components take no part; with fewer than three vectors there is no result.
+    """
+    points = finite_points(vectors, key, vector, "pca-vectors")
+    if len(points.head(3)) < 3:
+        return points.limit(0).select(key, F.array(F.lit(0.0)).alias("scores"))
+    scaled = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(points).transform(points)
+    return PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled).select(key, vector_to_array("pc").alias("scores"))

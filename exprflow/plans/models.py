@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cohorts as co
 from ..operators import describe as de
 from ..operators import models as mo
 from ..operators import normalize as nm
@@ -138,3 +139,22 @@ def source_modalities(spark, d):
     nation = read_table(spark, d, "nation")
     names = read_table(spark, d, "documents").select("source").union(nation.select("n_name")).union(nation.select(F.concat(F.lit("GPL"), "n_nationkey")))
     return names.distinct().select("source", de.modality(F.col("source")).alias("modality"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS c, count(*) AS n, n_regionkey * 0.25::DOUBLE AS j FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, n_regionkey HAVING count(*) >= 2)
+  SELECT x.c AS a, x.n AS n_a, y.c AS b, y.n AS n_b FROM s x JOIN s y ON x.c < y.c WHERE x.j >= 0.6 AND y.j >= 0.6""")
+def cohort_pairs(spark, d):
+    stable = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), (F.col("n_regionkey") * 0.25).alias("bootstrap_jaccard"))
+    return co.cohort_pairs(co.cohort_summary(read_table(spark, d, "customer"), "c_nationkey", "c_mktsegment", stable), 2, 0.6)
+
+
+@query()
+def cohort_stability(spark, d):
+    vectors = read_table(spark, d, "embeddings")
+    return rounded(co.stability(vectors, vectors.select("vec_id", F.col("label").alias("cluster")), "vec_id", "embedding", 5))
+
+
+@query()
+def sample_components(spark, d):
+    scores = co.principal_components(read_table(spark, d, "embeddings"), "vec_id", "embedding", 2)
+    return scores.select("vec_id", F.abs(F.col("scores")[0]).alias("pc1"), F.abs(F.col("scores")[1]).alias("pc2"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from exprflow.operators import cohorts
 
@@ -33,3 +35,22 @@ def test_summary_without_labels(spark):
     none = spark.createDataFrame([], "cluster int, bootstrap_jaccard double")
     got = sorted(tuple(r) for r in cohorts.cohort_summary(rows, "c", "l", none).collect())
     assert got == [(1, 2, "", "", None, False), (2, 2, "a", "a; b", None, False)]
+
+
+def test_stability_of_separate_and_of_random_clusters(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(10 * (i % 3), 0.5, 4)], i % 3, int(rng.integers(0, 3))) for i in range(150)] + [(999, [float("nan")] * 4, 0, 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, good int, bad int")
+    good, bad = ({r.cluster: r.bootstrap_jaccard for r in cohorts.stability(df, df.select("id", F.col(c).alias("cluster")), "id", "v", 3, seed=1).collect()} for c in ("good", "bad"))
+    assert min(good.values()) >= 0.8 > max(bad.values()) and len(good) == 3
+
+
+def test_principal_components_explain_what_numpy_says(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 5)) @ np.diag([1, 5, 2, 1, 1]) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, None)], "id long, v array<double>")
+    got = np.array([r.scores for r in cohorts.principal_components(df, "id", "v", 2).orderBy("id").collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.linalg.svd(z, full_matrices=False)[1][:2]
+    assert got.shape == (80, 2) and np.allclose(np.linalg.norm(got, axis=0), want, rtol=1e-6)
+    assert cohorts.principal_components(df.limit(2), "id", "v").count() == 0
