@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -103,8 +103,8 @@ def _bands(shingle: int):
             ends = np.concatenate(([0], np.where(n > 0, BANDS, 0).cumsum()))
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(regs[n > 0]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, mask=n == 0), bands],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [*(part.column(c) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(own, mask=n == 0), bands],
+                names=["doc_id", "h1", "h2", "n_shingles", "set_key", "bands"],
             )
 
     return run
@@ -121,7 +121,7 @@ def _full_sets(shingle: int):
                 + [pa.array(np.diff(offsets), pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
                 names=["set_key", "cell", "parts", "n_shingles", "shingles", "registers"],
             )
-            yield out.filter(pa.array(own == part.column("set_key").to_numpy()))  # a doc_id may name several rows
+            yield out.filter(pa.array(own == part.column("set_key").to_numpy()))
 
     return run
 
@@ -230,18 +230,16 @@ def _parts(members: DataFrame, unit: list[str]) -> DataFrame:
     return members.join(size.select(*unit, parts.alias("parts")), unit)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> DataFrame:
-    """Return per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _row_key() -> dict[str, Column]:
+    """Two hashes of doc_id and text that name a row, whether its doc_id is null, repeated or neither."""
+    return {"h1": F.xxhash64("doc_id", "text"), "h2": F.xxhash64(F.lit(1), "doc_id", "text")}
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text of fewer words than
-    ``shingle`` has one shingle, its word sequence; a null text or one without words has none, is linked with nothing
-    and kept. Rows link if 100 * intersection >= threshold * union; component_id is the smallest
-    doc_id reachable. Repeated rows are copies of each other; of rows with one doc_id all or none are
-    kept. Other columns of ``docs`` are ignored. An empty table gives an empty result.
-    """
-    texts = docs.select("doc_id", "text")
+
+def _components_of_rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, h1, h2, n_shingles, set_key and the root of its component, null without words."""
+    texts = docs.select("doc_id", "text").withColumns(_row_key())
     ids = materialize(
-        texts.mapInArrow(_bands(shingle), "doc_id long, n_shingles long, set_key long, bands array<long>"), "neardup-bands"
+        texts.mapInArrow(_bands(shingle), "doc_id long, h1 long, h2 long, n_shingles long, set_key long, bands array<long>"), "neardup-bands"
     )
     bucket = Window.partitionBy("band")
     met = (
@@ -254,12 +252,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> D
     met = materialize(met, "neardup-met")
     cells = components(met.select(F.col("set_key").alias("a"), F.col("hub").alias("b")).distinct(), "neardup-cells")
 
-    row_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    one_row = ids.where("n_shingles > 0").groupBy("set_key").agg(F.min(row_id).alias("row_id"), F.max("n_shingles").alias("n_shingles"))
+    one_row = ids.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("h1", "h2")).alias("row"), F.max("n_shingles").alias("n_shingles"))
+    one_row = one_row.select("set_key", "row.h1", "row.h2", "n_shingles")
     members = _parts(cells.select(F.col("node").alias("set_key"), F.col("root").alias("cell")).join(one_row, "set_key"), ["cell"])
     sets = materialize(
-        texts.withColumn("row_id", row_id)
-        .join(members.select("row_id", "set_key", "cell", "parts"), "row_id")
+        texts.join(members.select("h1", "h2", "set_key", "cell", "parts"), ["h1", "h2"])
         .select("text", "set_key", "cell", "parts")
         .mapInArrow(_full_sets(shingle), "set_key long, cell long, parts long, n_shingles long, shingles binary, registers binary"),
         "neardup-sets",
@@ -319,16 +316,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> D
     more = both.groupBy("task").applyInPandas(_block_links(threshold), "a long, b long")
     roots = components(links.union(materialize(more, "neardup-more")), "neardup-all")
 
-    ids = ids.select("doc_id", "n_shingles", "set_key").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    ids = materialize(ids.select("doc_id", "n_shingles", F.coalesce("root", "set_key").alias("root")), "neardup-ids")
+    ids = ids.drop("bands").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    return materialize(ids.select("doc_id", "h1", "h2", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("root")), "neardup-ids")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> DataFrame:
+    """Return per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. A text of fewer words than
+    ``shingle`` has one shingle, its word sequence; a null text or one without words has none, is linked with nothing
+    and kept. Rows link if 100 * intersection >= threshold * union; component_id is the smallest
+    doc_id reachable. Repeated rows are copies of each other; of rows with one doc_id in one component all or none are
+    kept. A null doc_id is larger than all others: its row is kept where no other doc_id is reachable.
+    Other columns of ``docs`` are ignored. An empty table gives an empty result.
+    """
+    ids = _components_of_rows(docs, shingle, threshold)
     least = ids.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return ids.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("least", "doc_id"), F.lit(True)).alias("kept")
-    )
+    first = F.coalesce("least", "doc_id")
+    return ids.join(least, "root", "left").select("doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one text of each group: those with the group's smallest doc_id, and
-    of repeated rows with that doc_id one."""
-    kept = near_duplicates(docs, shingle, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` with one row of each component: that of the smallest doc_id, nulls last, and among rows with
+    that doc_id of the smallest set key.
+
+    A doc_id may be null or name several texts; each text is judged by itself. Rows without words are all kept.
+    """
+    ids = _components_of_rows(docs, shingle, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "set_key", "h1", "h2")
+    kept = ids.where("root is not null").groupBy("root").agg(F.min(order).alias("row")).select("row.h1", "row.h2")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(has_words).withColumns(_row_key()).join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return one.select(docs.columns).unionByName(docs.where(~has_words))

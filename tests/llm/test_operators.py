@@ -117,6 +117,18 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()} == dict(enumerate(root))
 
 
+def test_drop_near_duplicates_with_null_and_repeated_ids(spark):
+    t = [sentence(40) for _ in range(5)]
+    rows = [(None, t[0], "a"), (1, t[1], "a"), (5, t[1], "b"), (5, t[2], "a"), (5, t[2], "a"), (5, t[3], "a"), (None, t[3], "a"), (None, t[4], "a"), (None, t[4], "b")]
+    d = spark.createDataFrame(rows + [(None, None, "a"), (5, " ", "a")], "doc_id long, text string, source string")
+    got = neardup.drop_near_duplicates(d)
+    assert got.columns == d.columns
+    want = [(None, t[0]), (1, t[1]), (5, t[2]), (5, t[3]), (None, t[4]), (None, None), (5, " ")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+    marks = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d).where("doc_id is null").collect()]
+    assert sorted(map(str, marks)) == sorted(map(str, [(None, None, True)] * 4 + [(None, 5, False)]))
+
+
 def test_register_estimate_is_unbiased():
     h = RNG.integers(0, 2**63, 900, dtype=np.uint64)
     a, b = np.sort(h[:600]), np.sort(h[150:750])
