@@ -1,13 +1,14 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 N-grams of one to three characters are hashed into ``BUCKETS`` features. Document frequencies cover all
-labelled documents that may be learned from. The weights are fitted by follow-the-regularised-leader
-with elastic-net penalties on a sample of bounded size, part of which is left to fit the temperature of
-the probabilities. Prediction runs over the whole text of every document.
+labelled documents that may be learned from, and so does the list of languages. The weights are fitted by
+follow-the-regularised-leader with elastic-net penalties on a sample of bounded size that holds each language,
+part of which is left to fit the temperature of the probabilities. Prediction runs over the whole text of every document.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,15 +17,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .arrowtext import slices
 
 BUCKETS = 1 << 15
-#: Labelled rows that the weights and the temperature are fitted on, at most; chosen by a hash of doc_id.
-FIT_ROWS = 3_000
+#: Labelled rows that the weights and the temperature are fitted on, at most (or one a language, if there are more
+#: languages); rows of each language at least, if it has them. Chosen by a hash of doc_id and text.
+FIT_ROWS, LEAST_ROWS = 3_000, 50
 UNDECIDED = "und"
 _SALT = [(0, 0x9E3779B1), (0x85EBCA6B, 0xC2B2AE35), (0x27D4EB2F, 0x165667B1)]
 
@@ -81,8 +83,9 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.column("lang"),
                 pa.array([i.astype("<u2").tobytes() for i, _, _ in found], pa.binary()),
                 pa.array([c[i].astype("<u4").tobytes() for i, c, _ in found], pa.binary()),
+                part.column("u"),
             ],
-            names=["doc_id", "lang", "at", "n"],
+            names=["doc_id", "lang", "at", "n", "u"],
         )
 
 
@@ -168,8 +171,9 @@ def _fit(idf: np.ndarray, languages: list[str], options: dict):
             at = np.frombuffer(at, "<u2").astype(np.int64)
             x = np.frombuffer(n, "<u4").astype(np.float32) * idf[at]
             rows.append((at, x / max(float(np.sqrt(x @ x)), 1e-9), code[lang]))
-        held = [r for i, r in enumerate(rows) if i % 5 == 4]
-        w, b = follow_the_leader([r for i, r in enumerate(rows) if i % 5 != 4], len(languages), **options)
+        held_back = (pdf.groupby("lang").cumcount() % 5 == 4).tolist()  # so the first rows of each language are learned from
+        held = [r for r, h in zip(rows, held_back, strict=True) if h]
+        w, b = follow_the_leader([r for r, h in zip(rows, held_back, strict=True) if not h], len(languages), **options)
         logits = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), len(languages))
         t = calibrate(logits, np.array([y for *_, y in held], int))
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [b.tobytes()], "temperature": [t], "zeros": [float((w == 0).mean())]})
@@ -177,12 +181,28 @@ def _fit(idf: np.ndarray, languages: list[str], options: dict):
     return run
 
 
+def quotas(sizes: dict[str, int], fit_rows: int) -> dict[str, int]:
+    """Rows to fit on of each language: all if they fit, else LEAST_ROWS each and the rest in proportion."""
+    n = sum(sizes.values())
+    if n <= fit_rows:
+        return dict(sizes)
+    least = max(1, min(LEAST_ROWS, fit_rows // len(sizes)))
+    rest = max(0, fit_rows - least * len(sizes))
+    return {x: min(k, least + rest * k // n) for x, k in sizes.items()}
+
+
+def hash_cut(quota: int, size: int) -> int:
+    """The signed 64-bit bound that about ``quota`` of ``size`` even hashes stay below, with a margin of six deviations."""
+    want = math.ceil(quota + 6 * math.sqrt(quota) + 10)
+    return min((1 << 63) - 1, want * (1 << 64) // size - (1 << 63))
+
+
 def train(
     docs: DataFrame, learnable: Column, fit_rows: int = FIT_ROWS, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 1e-4, seed: int = 3
 ) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) where ``learnable`` holds and lang isn't null.
 
-    Texts without a letter teach nothing. Without rows there are no languages, and all is undecided.
+    Texts without a letter teach nothing. Each language of the rest is learned, however rare. Without rows there are no languages, and all is undecided.
     """
     known = docs.select("doc_id", "text", "lang").where(F.coalesce(learnable, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = known.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
@@ -191,12 +211,19 @@ def train(
     some = counts[counts["feature"] >= 0]
     df[some["feature"]] = some["df"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = min(1.0, fit_rows / max(1, n))
-    sampled = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = materialize(sampled.mapInArrow(_sparse, "doc_id long, lang string, at binary, n binary"), "langid-sample")
-    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    hashed = known.withColumn("u", F.xxhash64("doc_id", "text", F.lit(29)))
+    found = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("first")).collect()
+    languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
+    quota = quotas({r["lang"]: r["n"] for r in found}, fit_rows)
+    cuts = [(r["lang"], max(r["first"], hash_cut(quota[r["lang"]], r["n"])), quota[r["lang"]]) for r in found]
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, cut long, quota long")
+    drawn = hashed.join(F.broadcast(cuts.select("lang", "cut")), "lang").where("u <= cut").select("doc_id", "text", "lang", "u")
+    # repeated rows have one hash and count once, so no language sorts more than its quota and the margin
+    drawn = drawn.mapInArrow(_sparse, "doc_id long, lang string, at binary, n binary, u long").dropDuplicates(["lang", "u"])
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).join(F.broadcast(cuts.select("lang", "quota")), "lang")
+    sample = materialize(drawn.where("k <= quota").select("doc_id", "lang", "at", "n"), "langid-sample")
     options = {"epochs": epochs, "alpha": alpha, "beta": beta, "l1": l1, "l2": l2, "seed": seed}
     fitted = sample.groupBy().applyInPandas(_fit(idf, languages, options), "weights binary, bias binary, temperature double, zeros double").first()
     w = np.frombuffer(fitted["weights"], np.float32).reshape(BUCKETS, len(languages))

@@ -149,6 +149,23 @@ def test_language_id_on_held_out(docs, rows, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_id_learns_rare_languages_from_a_small_sample(spark):
+    rows = [(i, sentence(12), "en") for i in range(1500)] + [(5000 + i, sentence(12, "de"), "de") for i in range(12)] + [(None, "qua zyx vox " * 3 + str(i), "la") for i in range(9)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), fit_rows=30)
+    assert model.languages == ["de", "en", "la"]
+    import pyarrow as pa
+
+    assert model.predict(pa.array([sentence(30, "de"), sentence(30), "vox qua zyx qua"]))[0] == ["de", "en", "la"]
+
+
+def test_language_quotas_and_hash_cuts_at_any_size():
+    got = langid.quotas({"a": 6_000_000, "b": 500, "c": 3}, 3000)
+    assert got["b"] >= langid.LEAST_ROWS and got["c"] == 3 and sum(got.values()) <= 3000
+    assert langid.quotas({"a": 20, "b": 1}, 3000) == {"a": 20, "b": 1}
+    for n in (10**4, 10**10, 10**14):
+        assert 50 < n * (langid.hash_cut(50, n) + 2**63) / 2**64 < 120
+
+
 def test_top_k_equals_brute_force(spark):
     v = RNG.normal(size=(300, 16))
     v[5] = v[10]
