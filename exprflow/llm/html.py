@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page into lines, one a block. Each line has a ratio of its text
 to the tags in it; the ratios are smoothed with a Gaussian, and a threshold that splits them into two clusters
-picks content lines. The content region is the article (or, without one, the smallest container)
-that holds the picked lines; lines of menus and other boilerplate containers never belong to it.
+picks content lines. The content region is the articles that hold the picked lines or, without them, the lowest common
+container of all picked lines and those around it that add more than links; lines of menus and other boilerplate
+containers never belong to it.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ OUTSIDE = frozenset(
 )
 RAW = frozenset(["script", "style"])
 CLOSES_P = BLOCK - {"body", "html"}
-#: Words of class, id and role that name boilerplate.
+#: Words of class, id and role that name boilerplate; a name counts if all its parts do, so "has-sidebar" doesn't.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu\w*|nav\w*|breadcrumb\w*|sidebar|side|footer|header|masthead|cookies?|consent|notices?|alert|"
-    r"popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|repl(?:y|ies)|widget|toolbar|pagination|pager|"
-    r"navigation|contentinfo|complementary|search)(?=$|[\s_-])",
+    r"(?:site[_-])?(?:WORD)(?:[_-](?:WORD))*".replace(
+        "WORD",
+        r"ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|menu[a-z]*|nav[a-z]*|breadcrumb[a-z]*|sidebar|side|footer|header|masthead|cookies?|consent|notices?|alert|"
+        r"popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend[a-z]*|comments?|disqus|repl(?:y|ies)|widget|toolbar|pagination|pager|"
+        r"navigation|contentinfo|complementary|search",
+    ),
     re.I,
 )
 
@@ -45,6 +49,9 @@ class Line:
     tags: int
     containers: tuple[int, ...]
     outside: bool
+    #: open elements that are named as boilerplate, and characters in links
+    noise: tuple[int, ...] = ()
+    linked: int = 0
 
 
 class PageReader(HTMLParser):
@@ -54,17 +61,18 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = ["page"]
-        #: open elements: tag, number of its container, whether it or one above is boilerplate
-        self.open: list[tuple[str, int, bool]] = [("page", 0, False)]
+        #: open elements: tag, number of its container, whether it or one above is boilerplate, numbers of those named so
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = [("page", 0, False, ())]
+        self.named = 0
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(dict.fromkeys(n for _, n, _ in self.open))
-            self.lines.append(Line(text, self.tags, path, self.open[-1][2]))
-        self.parts, self.tags = [], 0
+            path = tuple(dict.fromkeys(n for _, n, *_ in self.open))
+            self.lines.append(Line(text, self.tags, path, *self.open[-1][2:], self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -79,18 +87,20 @@ class PageReader(HTMLParser):
                 self.parts.append(" ")
         if tag in VOID:
             return
-        outside, number = self.open[-1][2], self.open[-1][1]
+        _, number, outside, noise = self.open[-1]
         if not outside:
-            outside = tag in OUTSIDE or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open))
+            outside = tag in OUTSIDE or (tag == "header" and not any(t in ("article", "main") for t, *_ in self.open))
             for k, v in attrs:
-                if k in ("class", "id", "role") and v and NOISE.search(v) and tag not in ("body", "html", "main"):
-                    outside = True
+                if k in ("class", "id", "role") and v and tag not in ("body", "html", "main") and any(map(NOISE.fullmatch, v.split())):
+                    if noise == self.open[-1][3]:
+                        self.named += 1
+                        noise = (*noise, self.named)
                 elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)):
                     outside = True
         if tag in ("article", "main", "section", "div", "body", "td", "blockquote"):
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, number, outside))
+        self.open.append((tag, number, outside, noise))
 
     def _close_sibling(self, tag: str) -> None:
         """An item ends where the next of its list begins."""
@@ -124,6 +134,8 @@ class PageReader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1][0] not in RAW:
             self.parts.append(data)
+            if any(t == "a" for t, *_ in self.open):
+                self.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -145,6 +157,45 @@ def two_clusters(x: np.ndarray) -> float:
     return t
 
 
+def without_noise(lines: list[Line], kinds: list[str]) -> list[Line]:
+    """The lines in no element named as boilerplate.
+
+    The name doesn't count for an element that holds all articles (or, without articles, all ``main``) of the page or,
+    on a page without either, more than half of its text; nor for any, if nothing were left.
+    """
+    for kind in ("article", "main"):
+        held: dict[int, set[int]] = {}
+        for x in lines:
+            for n in x.containers:
+                if kinds[n] == kind:
+                    held[n] = held.get(n, set(x.noise)) & set(x.noise)
+        if held:
+            kept = set.intersection(*held.values())
+            break
+    else:
+        size, total = {}, sum(len(x.text) for x in lines)
+        for x in lines:
+            for n in x.noise:
+                size[n] = size.get(n, 0) + len(x.text)
+        kept = {n for n, s in size.items() if 2 * s > total}
+    return [x for x in lines if kept.issuperset(x.noise)] or lines
+
+
+def common_container(lines: list[Line], picked: np.ndarray) -> int:
+    """The lowest container of all picked lines (but those that are mostly links), or one around it while what that adds isn't mostly links."""
+    core = [x for x, p in zip(lines, picked, strict=True) if p and 2 * x.linked <= len(x.text)] or lines
+    path = core[0].containers
+    for x in core:
+        path = path[: next((i for i, (a, b) in enumerate(zip(path, x.containers, strict=False)) if a != b), min(len(path), len(x.containers)))]
+    at = len(path) - 1
+    while at > 0:
+        added = [x for x in lines if path[at - 1] in x.containers and path[at] not in x.containers]
+        if 2 * sum(x.linked for x in added) > sum(len(x.text) for x in added):
+            break
+        at -= 1
+    return path[at]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; empty for null, empty or text-free pages."""
     if not html:
@@ -153,7 +204,7 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     reader.flush()
-    lines = [x for x in reader.lines if not x.outside]
+    lines = without_noise([x for x in reader.lines if not x.outside], reader.kinds)
     if not lines:
         return ""
     ratio = smooth(np.array([len(x.text) / (1 + x.tags) for x in lines], float))
@@ -167,10 +218,7 @@ def main_text(html: str | None) -> str:
     if held and 2 * sum(held.values()) >= size.sum():
         region = {n for n, s in held.items() if s}
     else:
-        region, every = {0}, {n for x in lines for n in x.containers}
-        for n in sorted(every):  # an inner container comes after the outer ones
-            if sum(s for x, s in zip(lines, size, strict=True) if n in x.containers) >= 0.8 * size.sum():
-                region = {n}
+        region = {common_container(lines, picked)}
     return "\n\n".join(x.text for x in lines if region & set(x.containers))
 
 

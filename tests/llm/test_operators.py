@@ -268,6 +268,23 @@ def test_html_extraction(spark):
     assert (out[1].n_chars, out[2].text, out[3].text, out[4].text, out[5].text) == (len(got), "", "", "", "plain & simple")
 
 
+def test_html_without_article_and_with_wrappers():
+    lead, body = "A lead of some words that opens it. " * 3, "The body goes on with many more words than that. " * 20
+    lead, body = lead.strip(), body.strip()
+    menu = "<div><a href=x>One page</a> <a href=y>Another page</a> <a href=z>A third page</a></div>"
+    post = f"<body>{menu}<div class=post><h1>Head</h1><div class=lead><p>{lead}</div><div class=body><p>{body}</div></div><div class=site-footer>end</div>"
+    assert html.main_text(post) == f"Head\n\n{lead}\n\n{body}"
+    for inner in ("section", "blockquote"):
+        assert html.main_text(f"<body>{menu}<div><h1>Head</h1><p>{lead}</p><{inner}><p>{body}</{inner}><p>{lead}</div>") == f"Head\n\n{lead}\n\n{body}\n\n{lead}"
+    want = f"{lead}\n\n{body}"
+    aside = "<div class='sidebar'><p>Beside it</div>"
+    assert html.main_text(f"<div class='content has-sidebar'><article class='post no-comments'><p>{lead}<p>{body}</article>{aside}</div>") == want
+    assert html.main_text(f"<div class='content has-sidebar'><p>{lead}<p>{body}{aside}</div>") == want
+    assert html.main_text(f"<div class='widget'><article><p>{lead}<p>{body}</article>{aside}</div>") == want
+    assert html.main_text(f"<div class='widget'><p>{lead}<p>{body}</div>{aside}") == want
+    assert html.main_text(f"<article><p>{lead}<p>{body}</article><div class=comments><article><p>{lead}</article></div>") == want
+
+
 def test_license_scan(spark, empty):
     gpl = licenses.TEMPLATES["GPL-3.0-notice"]
     damaged = gpl.replace("redistribute it", "share").replace("Foundation,", "Foundation, plainly")
