@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of documents by a bigram model of all other documents.
+"""Stupid-backoff scores of documents by an n-gram model of all other documents.
 
 Documents are dealt into chunks. A chunk sends its distinct n-grams, as sorted hashes with counts,
 to buckets of the hash range; a bucket adds up what all chunks sent, which is its part of the count
@@ -24,10 +24,14 @@ ALPHA = 0.4
 _BIGRAM = np.uint64(0xA24BAED4963EE407)
 
 
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, number of the first word and hash of each bigram)."""
-    _, at, h = windows(words, 2)
-    return words.hashes(), at, h ^ _BIGRAM
+def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(number of the first word, hash) of the n-grams of each length up to ``order``; a word is an n-gram of 1."""
+    out = [(np.arange(len(words.codes)), words.hashes())]
+    with np.errstate(over="ignore"):
+        for k in range(2, order + 1):
+            _, at, h = windows(words, k)
+            out.append((at, h ^ (_BIGRAM * np.array([k - 1], np.uint64))))
+    return out
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -40,13 +44,12 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _send(buckets: int):
+def _send(buckets: int, order: int):
     shift = np.uint64(64 - int(math.log2(buckets)))
 
     def run(table: pa.Table) -> pa.Table:
         words = split_words(table["text"].combine_chunks(), lower=True)
-        one, _, two = _grams(words)
-        grams, n = np.unique(np.concatenate((one, two)), return_counts=True)
+        grams, n = np.unique(np.concatenate([h for _, h in _grams(words, order)]), return_counts=True)
         n = n.astype(np.uint32)
         ends = np.searchsorted(grams >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(grams)])
         spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
@@ -54,7 +57,7 @@ def _send(buckets: int):
             {
                 "chunk": pa.array(np.full(buckets, table["chunk"][0].as_py()), pa.int64()),
                 "bucket": pa.array(np.arange(buckets), pa.int64()),
-                "words": pa.array(np.full(buckets, len(one)), pa.int64()),
+                "words": pa.array(np.full(buckets, len(words.codes)), pa.int64()),
                 "grams": pa.array([_planes(grams[a:b]) for a, b in spans], pa.binary()),
                 "counts": pa.array([_planes(n[a:b]) for a, b in spans], pa.binary()),
             }
@@ -92,25 +95,29 @@ def _own(owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
+def _score(docs: pa.Table, totals: pa.Table, order: int) -> pa.Table:
     words = split_words(docs["text"].combine_chunks(), lower=True)
-    one, at, two = _grams(words)
-    grams = np.unique(np.concatenate((one, two)))
-    order = np.argsort(totals["bucket"].to_numpy())
+    by_length = _grams(words, order)
+    grams = np.unique(np.concatenate([h for _, h in by_length]))
+    at_bucket = np.argsort(totals["bucket"].to_numpy())
     packed = totals["totals"].to_pylist()
-    total = np.concatenate([_numbers(packed[i], np.uint64) for i in order]).astype(np.int64) if packed else np.zeros(0, np.int64)
+    total = np.concatenate([_numbers(packed[i], np.uint64) for i in at_bucket]).astype(np.int64) if packed else np.zeros(0, np.int64)
     n_all = totals["words"][0].as_py() if len(packed) else 0
     owner = words.owner
-    i1, i2 = np.searchsorted(grams, one), np.searchsorted(grams, two)
-    c1 = total[i1] - _own(owner, i1)
-    c2 = total[i2] - _own(owner[at], i2)
     rest = np.maximum(n_all - words.counts, 1)[owner].astype(float)
-    alone = np.log10(np.maximum(c1, 1) / rest) + np.where(c1 > 0, 0.0, math.log10(ALPHA))
-    logp = alone.copy()
-    second = at + 1
-    logp[second] = np.where(c2 > 0, np.log10(np.maximum(c2, 1) / np.maximum(c1[at], 1)), alone[second] + math.log10(ALPHA))
-    backed = np.zeros(len(one), bool)
-    backed[second] = c2 == 0
+    for k, (at, h) in enumerate(by_length, 1):
+        i = np.searchsorted(grams, h)
+        c = total[i] - _own(owner[at], i)
+        if k == 1:
+            c1 = c
+            logp = np.log10(np.maximum(c, 1) / rest) + np.where(c > 0, 0.0, math.log10(ALPHA))
+            backed = np.zeros(len(c), bool)
+        else:  # of the last word after the k - 1 before it, whose own count is context[at]
+            last = at + k - 1
+            logp[last] = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(context[at], 1)), logp[last] + math.log10(ALPHA))
+            backed[last] = c == 0
+        context = np.zeros(len(owner), np.int64)
+        context[at] = c
 
     def per(x):
         s = np.concatenate(([0], np.cumsum(x)))
@@ -129,23 +136,30 @@ def _score(docs: pa.Table, totals: pa.Table) -> pa.Table:
     )
 
 
-def stupid_backoff(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def stupid_backoff(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> DataFrame:
     """Return per row of ``docs`` (doc_id, text): doc_id, n_words, n_backoff, n_unseen, score.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Counts are those of all other rows. A word after
-    another scores c(pair) / c(first) if the pair occurs elsewhere, else 0.4 times what it scores alone: c(word) / words, or
-    0.4 / words if it occurs nowhere else. ``score`` is the mean log10 over the words, null without words. A
-    repeated row is another row, so copies vouch for each other. Other columns are ignored; an empty
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Counts are those of all other rows. A word after the ``order`` - 1
+    words before it (or those there are) scores c(all of them) / c(those before) if all of them occur elsewhere, else 0.4 times
+    what it scores after one word less. Alone it scores c(word) / words, or 0.4 / words if it occurs nowhere else.
+    ``n_backoff`` counts the words whose longest n-gram occurs nowhere else. ``score`` is the mean log10 over the words, null
+    without words. A repeated row is another row, so copies vouch for each other. Other columns are ignored; an empty
     table gives an empty result.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
     buckets = min(MAX_BUCKETS, 1 << max(1, chunks - 1).bit_length())
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk"))
-    sent = dealt.groupBy("chunk").applyInArrow(_send(buckets), "chunk long, bucket long, words long, grams binary, counts binary")
+    sent = dealt.groupBy("chunk").applyInArrow(_send(buckets, order), "chunk long, bucket long, words long, grams binary, counts binary")
     totals = sent.groupBy("bucket").applyInArrow(_add_up, "chunk long, bucket long, words long, totals binary")
+
+    def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        return _score(docs, totals, order)
+
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
-        _score, "doc_id long, n_words long, n_backoff long, n_unseen long, score double"
+        score, "doc_id long, n_words long, n_backoff long, n_unseen long, score double"
     )
 
 

@@ -203,6 +203,30 @@ def test_language_model_equals_brute_force(docs, rows, empty):
     assert lmscore.stupid_backoff(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_language_models_equal_brute_force(docs, rows, order):
+    from exprflow.llm import queries
+
+    assert "op5_lm_score_trigrams" in queries.queries()
+    texts = {i: words(t, True) for i, t, *_ in rows}
+    grams = lambda t: Counter(tuple(t[a : a + k]) for k in range(1, order + 1) for a in range(len(t) - k + 1))
+    every = sum((grams(t) for t in texts.values()), Counter())
+    total = sum(map(len, texts.values()))
+    got = {r.doc_id: r for r in lmscore.stupid_backoff(docs, chunk_bytes=4000, order=order).collect()}
+    for i, t in texts.items():
+        own = grams(t)
+        c = lambda g: every[g] - own[g]  # noqa: B023, E731
+
+        def p(g):
+            if len(g) == 1:
+                return (c(g) or 0.4) / max(total - len(t), 1)  # noqa: B023
+            return c(g) / c(g[:-1]) if c(g) else 0.4 * p(g[1:])  # noqa: B023
+
+        longest = [tuple(t[max(0, k - order + 1) : k + 1]) for k in range(len(t))]
+        assert (got[i].n_words, got[i].n_backoff) == (len(t), sum(len(g) > 1 and not c(g) for g in longest))
+        assert got[i].score is None if not t else got[i].score == pytest.approx(np.mean([np.log10(p(g)) for g in longest]))
+
+
 def encoded(rows, end):
     from tokenizers import Tokenizer
 
