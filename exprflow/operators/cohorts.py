@@ -96,7 +96,7 @@ def pseudo_cohorts(vectors: DataFrame, key: str, vector: str, ks: Iterable[int],
     return best[2].select(key, "cluster", F.lit(best[1]).alias("k"))
 
 
-def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, replicates: int = 10, share: float = 0.8, seed: int = 0) -> DataFrame:
+def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, replicates: int = 50, share: float = 0.8, seed: int = 0) -> DataFrame:
     """(cluster, bootstrap_jaccard) of the clusters in ``placed`` (key, cluster).
 
     Each replicate clusters a seeded ``share`` of the points anew, and a cluster's score is its best Jaccard similarity with a

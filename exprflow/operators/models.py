@@ -67,7 +67,7 @@ def moderated_t(rows: DataFrame, trim: float = 0.05, least: int = 30) -> DataFra
     return benjamini_hochberg(out.withColumn("p_value", student_sf2("t_stat", "df")), "p_value")
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], key: str, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, by: list[str], key: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of each group's mean: by, n, mean, lower, upper.
 
     In each replicate a row counts as often as a Poisson(1) draw from a hash of its key says, so replicates need no

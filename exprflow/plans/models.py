@@ -22,14 +22,14 @@ def moderated_ranking(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return rounded(mo.bootstrap_mean(views.cells(spark, d), ["cell_type"], "cell_id", 200))
+    return rounded(mo.bootstrap_mean(views.cells(spark, d), ["cell_type"], "cell_id", 1000))
 
 
 @query()
 def gene_set_prerank(spark, d):
     genes = views.expression(spark, d).select("gene").distinct()
     sets = genes.select(F.concat(F.lit("SET"), F.expr("cast(substr(gene, 2) as int) % 8")).alias("term"), "gene")
-    return rounded(st.prerank(effects(spark, d).select("gene", F.col("t_stat").alias("value")), sets, 200))
+    return rounded(st.prerank(effects(spark, d).select("gene", F.col("t_stat").alias("value")), sets, 1000))
 
 
 @query(f"""{C}, fg AS (SELECT gene, avg(ln(count)) AS lm FROM counts GROUP BY 1 HAVING min(count) > 0 AND count(*) = (SELECT count(DISTINCT sample_id) FROM counts)),
@@ -151,7 +151,7 @@ def cohort_pairs(spark, d):
 @query()
 def cohort_stability(spark, d):
     vectors = read_table(spark, d, "embeddings")
-    return rounded(co.stability(vectors, vectors.select("vec_id", F.col("label").alias("cluster")), "vec_id", "embedding", 5))
+    return rounded(co.stability(vectors, vectors.select("vec_id", F.col("label").alias("cluster")), "vec_id", "embedding", 50))
 
 
 @query()

@@ -67,6 +67,32 @@ def test_bootstrap_covers_the_mean_and_repeats(spark):
     assert r.upper - r.lower == pytest.approx(2 * 1.96 * 2 / 20, rel=0.2)
 
 
+@pytest.mark.parametrize(("query", "module", "operator", "count"), [
+    ("bootstrap_intervals", "models", "bootstrap_mean", 1000), ("gene_set_prerank", "statistics", "prerank", 1000), ("cohort_stability", "cohorts", "stability", 50),
+])
+def test_resampling_queries_run_the_reference_counts(spark, monkeypatch, query, module, operator, count):
+    import importlib
+    import inspect
+
+    from exprflow import registry
+    from exprflow.plans import models  # noqa: F401
+
+    m, seen = importlib.import_module(f"exprflow.operators.{module}"), {}
+    signature = inspect.signature(getattr(m, operator))
+    turns = "permutations" if operator == "prerank" else "replicates"
+    assert signature.parameters[turns].default == count
+
+    def stub(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen["count"] = bound.arguments[turns]
+        return args[0].limit(0)
+
+    monkeypatch.setattr(m, operator, stub)
+    registry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert seen["count"] == count
+
+
 def test_prerank_finds_a_planted_set_and_ignores_partitioning(spark):
     ranked = spark.createDataFrame([(f"g{i}", 100.0 - i) for i in range(200)], "gene string, value double")
     sets = spark.createDataFrame([("top", f"G{i}") for i in range(12)] + [("mixed", f"g{i}") for i in range(3, 200, 17)] + [("absent", "x")], "term string, gene string")
