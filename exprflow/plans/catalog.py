@@ -95,6 +95,16 @@ def combined_matrices(spark, d):
     return nm.combine_matrices([one, items.where("sample_id % 3 = 0").groupBy("sample_id", "probe_id").agg(F.max("l_extendedprice").alias("value"))])
 
 
+@query("""WITH a AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) AS v, 0 AS k FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2
+  UNION ALL SELECT l_suppkey, l_partkey, max(l_extendedprice), 1 FROM lineitem GROUP BY 1, 2), o AS (SELECT s, min(k) AS k FROM a GROUP BY 1)
+  SELECT s AS sample_id, p AS probe_id, v AS value FROM a JOIN o USING (s, k)""")
+def combined_matrices_whole(spark, d):
+    """As combined_matrices, with the whole table as second part, so every supplier takes part."""
+    items = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("probe_id"), "l_quantity", "l_extendedprice")
+    one = items.where("sample_id % 2 = 0").groupBy("sample_id", "probe_id").agg(F.max("l_quantity").alias("value"))
+    return nm.combine_matrices([one, items.groupBy("sample_id", "probe_id").agg(F.max("l_extendedprice").alias("value"))])
+
+
 @query(f"""{X}, s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM expr GROUP BY 1)
   SELECT gene, count(*) FILTER (sd > 0 AND abs(value - m) > 2 * sd) AS n_zscore,
   count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_iqr FROM expr JOIN s USING (gene) GROUP BY 1""")
@@ -387,6 +397,14 @@ def nearest_labels(spark, d):
     return rounded(se.nearest(v.where("id % 100 = 0"), v, 5))
 
 
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.id AS query_id, b.id, list_cosine_similarity(q.v, b.v) AS s FROM v q JOIN v b ON q.id % 20 = 0 AND q.id <> b.id)
+  SELECT query_id, rank::INT AS rank, id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s WHERE s >= 0) WHERE rank <= 5""")
+def nearest_labels_twentieth(spark, d):
+    """As nearest_labels, for every id divisible by 20."""
+    v = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rounded(se.nearest(v.where("id % 20 = 0"), v, 5))
+
+
 @query("""WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), k AS (SELECT lower(n_name) AS key, n_nationkey AS id, 0 AS tier FROM nation UNION ALL SELECT lower(r_name), r_regionkey, 1 FROM region),
   b AS (SELECT key, min({'tier': tier, 'id': id}) AS b FROM k GROUP BY 1)
   SELECT label, b.id, b.tier FROM (SELECT upper(n_name) AS label FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT DISTINCT p_brand FROM part) LEFT JOIN b ON key = lower(label)""")

@@ -45,3 +45,10 @@ def test_same_as_duckdb(spark, duck, name):
     want = duck.sql(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert [x.replace(".0", "") for r in rows(got) for x in r] == [x.replace(".0", "") for r in rows(want) for x in r]
+
+
+def test_whole_queries_cover_their_tables(spark):
+    got = registry.queries()["nearest_labels_twentieth"](spark, SF).select("query_id").distinct().count()
+    assert got == spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    got = registry.queries()["combined_matrices_whole"](spark, SF).select("sample_id").distinct().count()
+    assert got == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().count()
