@@ -25,21 +25,58 @@ K, WINNOW, BAND = 3, 4, 8
 MIN_COVERAGE = 0.8
 SIGNS = ".,;:()[]\"'*#/-"
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
 # License notices as their publishers word them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
     'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-2-Clause-text": _BSD + _BSD_END,
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "BSD-3-Clause-text": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. " + _BSD_END,
+    "CC0-1.0": "Licensed under CC0 1.0 Universal.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "ISC": "Licensed under the ISC License.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
 }
+for _kind, _long in (
+    ("", "Attribution"), ("-SA", "Attribution-ShareAlike"), ("-NC", "Attribution-NonCommercial"), ("-ND", "Attribution-NoDerivatives"),
+    ("-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for _v in ("2.0", "3.0", "4.0"):
+        TEMPLATES[f"CC-BY{_kind}-{_v}"] = f"Licensed under CC BY{_kind} {_v}."
+        TEMPLATES[f"CC-BY{_kind}-{_v}-notice"] = f"This work is licensed under a Creative Commons {_long} {_v} International License."
+for _name, _long, _versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
+    for _v in _versions:
+        _id = f"{_name}-{_v}" if "." in _v else f"{_name}-{_v}.0"
+        TEMPLATES[_id] = f"This work is licensed under the GNU {_long}General Public License, version {_v}."
+        TEMPLATES[f"{_id}-notice"] = (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_long}General Public License as published by "
+            f"the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
+        )
+
+#: Words that tell licenses apart; a number tells versions apart if it follows one of AFTER or has a point.
+DECIDING = re.compile(r"lesser|library|affero|gnu|apache|mozilla|mit|isc|bsd|[23]-clause|cc0|by(?:-(?:nc|sa|nd))*|attribution[a-z-]*|non-?commercial|share-?alike|no-?derivatives")
+NUMBER, AFTER = re.compile(r"v?\d+(?:\.\d+)*"), frozenset(["version", "v", "license", "by", "cc0"])
 
 
 def _plain(words: Words) -> Words:
@@ -47,6 +84,10 @@ def _plain(words: Words) -> Words:
     return Words(words.offsets, words.codes, pc.utf8_trim(words.vocab, SIGNS))
 
 
+def _texts(words: Words, doc: int = 0, start: int = 0, end: int | None = None) -> list[str]:
+    return words.vocab.take(pa.array(words.codes[words.offsets[doc] : words.offsets[doc + 1]][start:end])).to_pylist()
+
+
 def winnow(h: np.ndarray, window: int) -> list[int]:
     """Positions of the rightmost smallest hash of each run of ``window``; all if there are fewer."""
     if len(h) <= window:
@@ -69,6 +110,28 @@ def template_index(items: tuple[tuple[str, str], ...]) -> tuple[list[str], list[
     return [n for n, _ in items], hashes, np.array(sorted(index), np.uint64), dict(index)
 
 
+def deciding(words: list[str]) -> set[str]:
+    """The deciding words and version numbers (as 3 for 3.0) among plain words."""
+    out = set()
+    for before, w in zip(["", *words], words, strict=False):
+        if NUMBER.fullmatch(w) and ("." in w or w[0] == "v" or before in AFTER):
+            out.add(re.sub(r"(\.0)+$", "", w.removeprefix("v")))
+        elif DECIDING.fullmatch(w) and not (w == "by" and before != "cc"):
+            out.add(w)
+    return out
+
+
+def best_aligned(found: list[tuple[int, str, int, int, int, int]]) -> list[tuple[int, str, int, int, int, int]]:
+    """Of matches that overlap in a text, the one with most matched words over missing ones."""
+    kept: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    out = []
+    for m in sorted(found, key=lambda m: (m[0], m[3] - 2 * m[2], m[1], m[4])):
+        if all(m[5] <= a or m[4] >= b for a, b in kept[m[0]]):
+            kept[m[0]].append((m[4], m[5]))
+            out.append(m)
+    return sorted(out)
+
+
 def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, start, end) of the best alignment of a template to a part of ``text``.
 
@@ -110,6 +173,7 @@ def scan(words: Words, templates: dict[str, str], min_coverage: float) -> list[t
     if not seeds:
         return []
     each, out = words.hashes(), set()
+    wanted = [deciding(_texts(_plain(split_words(pa.array([templates[n]]), lower=True)))) for n in names]
     for (doc, t), found in seeds.items():
         body = each[words.offsets[doc] : words.offsets[doc + 1]]
         found.sort()
@@ -122,10 +186,10 @@ def scan(words: Words, templates: dict[str, str], min_coverage: float) -> list[t
             lo = max(0, group[0][0] - band)
             hi = min(len(body), group[-1][0] + len(hashes[t]) + band)
             matched, a, b = align(hashes[t], body[lo:hi], band)
-            if matched >= min_coverage * len(hashes[t]):
+            if matched >= min_coverage * len(hashes[t]) and deciding(_texts(words, doc, lo + a, lo + b)) == wanted[t]:
                 out.add((doc, names[t], matched, len(hashes[t]), lo + a, lo + b))
             group = [s]
-    return sorted(out)
+    return best_aligned(sorted(out))
 
 
 def _scan_batches(templates: dict[str, str], min_coverage: float):
@@ -150,7 +214,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     span [start, end) in code points.
 
     Case of A-Z and signs around words don't count. A null or empty text matches nothing; a text may match many
-    templates, and one template in many places; matches of one place on diagonals within the band are one. Repeated rows give repeated matches. Other columns are ignored.
+    templates, and one template in many places; where matches overlap the best-aligned one is left, and deciding words (names,
+    versions) of the template and of the span must be the same; matches of one place on diagonals within the band are one. Repeated rows give repeated matches. Other columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(
         _scan_batches(templates or TEMPLATES, min_coverage), "doc_id long, license string, coverage double, n_matched long, start long, end long"

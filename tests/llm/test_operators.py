@@ -321,6 +321,20 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_tells_versions_and_variants_apart(spark):
+    notice, gnu = licenses.TEMPLATES, "This work is licensed under the GNU {}General Public License, version {}."
+    cases = {
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 1.0.": None,
+        gnu.format("", 2): "GPL-2.0", gnu.format("", 3): "GPL-3.0", gnu.format("", 9): None, gnu.format("Lesser ", 3): "LGPL-3.0", gnu.format("Affero ", 3): "AGPL-3.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+    } | {notice[k]: k for k in ("MIT", "Apache-2.0-notice", "BSD-2-Clause-text", "BSD-3-Clause-text", "MPL-2.0-notice", "ISC-text", "Unlicense", "CC0-1.0-notice", "LGPL-2.1-notice")}
+    texts = [f"Some words before. {t} And after it." for t in cases]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert {t: got.get(i) for i, t in enumerate(cases)} == {t: k and [k] for t, k in cases.items()}
+
+
 def test_quality_rules(spark, docs, empty):
     good = [(i, sentence(60), 1) for i in range(300)]
     bad = [(1000 + i, " | ".join(sentence(60).split()), 0) for i in range(100)]
