@@ -4,8 +4,8 @@ A data set is a folder of shards in doc_id order. A shard is
 
     magic ``TOKBITS1``, then the ids, ``bits`` each, little end first, in blocks of ``BLOCK_IDS`` ids,
     each block starting at a whole byte; then the footer: as int64 the byte offset of each block, the
-    end of each document in ids, and each doc_id; last six int64: bits, ids per block, ids, blocks,
-    documents, position of the footer.
+    end of each document in ids, and each doc_id; last seven int64: bits, ids per block, ids, blocks,
+    documents, how many of them (the first ones) have a doc_id, position of the footer.
 
 Any block can be read and unpacked alone: its bytes are one ``numpy.unpackbits`` of known shape. A shard's
 name is unique to the attempt that wrote it; the manifest, written by Spark, names the shards that
@@ -14,6 +14,7 @@ count, so retried and speculative tasks leave nothing that is read.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,6 +30,9 @@ from .arrowtext import slices
 from .tokens import ENCODE_BYTES, encoder
 
 MAGIC, BLOCK_IDS, END_ID, VOCABULARY = b"TOKBITS1", 1 << 16, 2, 49_408
+#: Bytes of text in a shard, about; a small table has a shard for each task slot.
+SHARD_BYTES = 256 << 20
+TAIL = 7 * 8
 MANIFEST = "shard long, file string, n_docs long, n_tokens long, bits int"
 
 
@@ -58,7 +62,7 @@ class ShardWriter:
         self.blocks: list[int] = []
         self.ends: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
-        self.rest, self.total = np.zeros(0, np.uint32), 0
+        self.rest, self.total, self.named = np.zeros(0, np.uint32), 0, 0
         self.out.write(MAGIC)
 
     def _put(self, ids: np.ndarray) -> None:
@@ -67,9 +71,11 @@ class ShardWriter:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+    def add(self, doc_ids: pa.Array, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Documents in order, those with a null doc_id after all others."""
         self.ends.append(self.total + np.cumsum(lengths))
-        self.ids.append(doc_ids)
+        self.ids.append(doc_ids.fill_null(0).to_numpy(zero_copy_only=False))
+        self.named += len(doc_ids) - doc_ids.null_count
         self.total += len(flat)
         flat = np.concatenate((self.rest, flat))
         whole = len(flat) // BLOCK_IDS * BLOCK_IDS
@@ -81,7 +87,7 @@ class ShardWriter:
         if len(self.rest):
             self._put(self.rest)
         n_docs = sum(map(len, self.ids))
-        for x in (self.blocks, *self.ends, *self.ids, (self.bits, BLOCK_IDS, self.total, len(self.blocks), n_docs, self.at)):
+        for x in (self.blocks, *self.ends, *self.ids, (self.bits, BLOCK_IDS, self.total, len(self.blocks), n_docs, self.named, self.at)):
             self.out.write(np.asarray(x, "<i8").tobytes())
 
 
@@ -91,11 +97,12 @@ class ShardReader:
     def __init__(self, file):
         self.file = file
         size = file.size()
-        tail = np.frombuffer(file.read_at(48, size - 48), "<i8")
-        self.bits, self.block_ids, self.total, n_blocks, n_docs, self.footer = map(int, tail)
-        index = np.frombuffer(file.read_at(size - 48 - self.footer, self.footer), "<i8")
+        tail = np.frombuffer(file.read_at(TAIL, size - TAIL), "<i8")
+        self.bits, self.block_ids, self.total, n_blocks, n_docs, self.named, self.footer = map(int, tail)
+        index = np.frombuffer(file.read_at(size - TAIL - self.footer, self.footer), "<i8")
         self.blocks = np.append(index[:n_blocks], self.footer)
-        self.ends, self.doc_ids = index[n_blocks : n_blocks + n_docs], index[n_blocks + n_docs :]
+        self.ends = index[n_blocks : n_blocks + n_docs]
+        self.doc_ids = pa.array(index[n_blocks + n_docs :], mask=np.arange(n_docs) >= self.named)
 
     def block(self, k: int) -> np.ndarray:
         n = min(self.block_ids, self.total - k * self.block_ids)
@@ -133,7 +140,7 @@ def _writer(folder: str, bits: int, end_id: int, path: str | None) -> Callable:
             flat[inside] = ids
             if len(flat) and int(flat.max()) >> bits:
                 raise ValueError(f"an id needs more than {bits} bits")
-            writer.add(part.column("doc_id").to_numpy(zero_copy_only=False), n, flat)
+            writer.add(part.column("doc_id"), n, flat)
         if writer:
             writer.close()
             stream.close()
@@ -152,14 +159,16 @@ def write_tokens(
     """Write the ids of ``docs`` (doc_id, text) below ``folder``, a URI that executors reach; return the manifest.
 
     Documents are range-partitioned and sorted by doc_id; each range is a shard. A null text is its
-    end id alone. Rows without doc_id are not in the files, as nothing orders them; rows that share a
-    doc_id follow each other by text. Other columns are ignored. An empty table writes an empty manifest.
+    end id alone. Rows without doc_id follow all others; rows that share a doc_id, or have none, follow each other by a hash of
+    the text and the text, so that many of them spread over shards. Other columns are ignored. An empty table writes an empty manifest.
     """
     bits = max(1, int(vocabulary - 1).bit_length())
-    rows = docs.select("doc_id", "text").where("doc_id is not null")
-    n = shards or max(cores(docs.sparkSession), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, "doc_id")
-    written = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(_writer(folder, bits, end_id, tokenizer), MANIFEST)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    size = 0 if shards else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(cores(docs.sparkSession), math.ceil(size / SHARD_BYTES))
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    written = ordered.mapInArrow(_writer(folder, bits, end_id, tokenizer), MANIFEST)
     written.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -181,7 +190,7 @@ def _reader(folder: str) -> Callable:
                         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                         n = len(ends)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(reader.doc_ids[at:end]), pa.array(row["shard"] + np.zeros(n, np.int64)), pa.array(base + starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                            [reader.doc_ids[at:end], pa.array(row["shard"] + np.zeros(n, np.int64)), pa.array(base + starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
                             names=["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"],
                         )
                         at = end

@@ -228,6 +228,7 @@ def test_longer_language_models_equal_brute_force(docs, rows, order):
 
 
 def encoded(rows, end):
+    """By the library itself, with its defaults."""
     from tokenizers import Tokenizer
 
     from exprflow.llm.tokens import tokenizer_path
@@ -272,10 +273,26 @@ def test_token_files_round_trip(spark, docs, rows, empty, tmp_path, vocabulary):
     first = spark.read.parquet(f"{folder}/manifest").orderBy("shard").first()
     reader = tokenfile.ShardReader(pa.OSFile(f"{tmp_path}/t/{first.file}"))
     k = len(reader.doc_ids) // 2
-    assert (reader.document(k) == want[int(reader.doc_ids[k])]).all()
+    assert (reader.document(k) == want[reader.doc_ids[k].as_py()]).all()
     assert tokenfile.token_digests(empty).count() == 0
 
 
+def test_token_files_keep_null_and_repeated_ids(spark):
+    texts = {t: encoded([(0, t)], 2)[0] for t in [f"t{i} word" for i in range(40)] + [None, "<|endoftext|> x", "İ."]}
+    rows = [(None, t) for t in list(texts)[:30]] + [(7, t) for t in list(texts)[20:]] + [(i, "a b") for i in (9, 3)] + [(None, "t1 word")] * 2
+    texts["a b"] = encoded([(0, "a b")], 2)[0]
+    got = tokenfile.token_digests(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")), shards=5).collect()
+    want = Counter((i, len(texts[t]), zlib.crc32(texts[t].tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in got]
+    assert ids[:2] == [3, 7] and ids[-33] == 9 and ids[-32:] == [None] * 32
+
+
 def test_html_extraction(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>Menu</ul></nav><div class="ad">Buy</div><article><h1>Title &amp; more</h1>'
