@@ -253,6 +253,35 @@ def test_pack_holds_each_id_once(docs, rows, empty, min_cut):
     assert packing.pack(empty).count() == 0
 
 
+def test_pack_without_min_cut_pads_and_cuts_little(spark, docs, rows, empty):
+    want = encoded(rows, 1)
+    got = packing.pack(docs.withColumn("class", F.lit("x")).withColumn("place", F.lit(1))).toPandas()
+    for i, g in got.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert (g["start"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() == len(want[i]) == g["doc_tokens"].iloc[0]
+        assert all(zlib.crc32(want[i][a : a + n].tobytes()) == c for a, n, c in zip(g["start"], g["length"], g["ids_crc32"], strict=True))
+    assert set(got["doc_id"]) == set(want)
+    used = got.groupby("sequence_id")["length"].sum()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 2048
+    assert 2048 * len(used) - used.sum() < 2048 + 0.03 * used.sum() and len(got) < 3 * len(rows)
+    assert packing.pack(empty).count() == 0
+    same = spark.createDataFrame([(None, "a b")] * 3 + [(None, None), (4, "a b")], "doc_id long, text string")
+    assert sorted(r.length for r in packing.pack(same).collect()) == [1, 3, 3, 3, 3]
+
+
+def test_reciprocal_cuts_fill_sequences_of_each_class():
+    n = np.arange(1, 5000)
+    d, start, size = packing.cut_reciprocal(n, 2048, 64)
+    assert (np.bincount(d, size) == n).all() and (size > 0).all() and (size <= 2048).all()
+    assert (start == np.concatenate([np.cumsum(size[d == i]) - size[d == i] for i in range(len(n))])).all()
+    k = 2048 // size
+    assert (2048 - k * size <= np.maximum(64, k)).all()
+    seq, offset = packing.first_fit(np.array([1000, 30, 2048, 1048, 30, 5, 1000]), 2048)
+    assert seq.tolist() == [1, 2, 0, 1, 2, 2, 2] and offset.tolist() == [1048, 1000, 0, 0, 1030, 1060, 0]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     ids = RNG.integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
