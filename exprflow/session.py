@@ -19,12 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where a session leaves it unset (tests, a laptop)
-    a local folder is made and kept in that setting, so later calls use the same one.
+    ``spark.checkpoint.dir`` names it. Only where a local session leaves it unset (tests, a laptop)
+    a local folder is made and kept in that setting, so later calls use the same one. On a cluster, where executors
+    don't see the driver's disk, an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = spark.sparkContext.getCheckpointDir()
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = path or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -40,7 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def cores(spark: SparkSession) -> int:
