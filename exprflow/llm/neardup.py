@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .arrowtext import mix64, shingle_sets, slices, split_words
 
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
 PROBES = 64
+#: Set keys that a task remembers, to give each set's bands once; then it starts anew.
+SEEN_SETS = 1 << 20
 #: Texts and bytes of sets in a block; texts of a cell that are put into each of its blocks.
 BLOCK_ROWS, BLOCK_BYTES, HUBS = 384, 12 << 20, 8
 _DONORS = np.random.default_rng(7).integers(0, REGISTERS, (PROBES, REGISTERS)).astype(np.int16)
@@ -97,11 +99,19 @@ def _sketch(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _bands(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, "text", 4 << 20):
             offsets, _, regs, own = _sketch(part.column("text"), shingle)
             n = np.diff(offsets)
-            ends = np.concatenate(([0], np.where(n > 0, BANDS, 0).cumsum()))
-            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(regs[n > 0]).view(np.int64).ravel()))
+            new = np.zeros(len(n), bool)  # copies of a set say nothing new
+            for i in np.flatnonzero(n > 0):
+                if (k := int(own[i])) not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(k)
+                    new[i] = True
+            ends = np.concatenate(([0], np.where(new, BANDS, 0).cumsum()))
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(regs[new]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(own, mask=n == 0), bands],
                 names=["doc_id", "h1", "h2", "n_shingles", "set_key", "bands"],
@@ -200,8 +210,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = materialize(edges.select("a", "b"), f"{name}-edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    parent = nodes.select("node", F.col("node").alias("root"))
-    live = edges.where("a <> b")
+    parent = nodes.select("node", F.col("node").alias("root"))  # read from the edges once more, if there is a round at all
+    live, done = edges.where("a <> b"), (edges,)
     while True:
         hooks = (
             live.select(F.greatest("a", "b").alias("r"), F.least("a", "b").alias("to"))
@@ -215,12 +225,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if hooks.isEmpty():
             return parent
         hop = hooks.select(F.col("r").alias("root"), F.col("to"))
-        parent = materialize(parent.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots")
+        roots = materialize(parent.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots")
         pa_, pb = hooks.select(F.col("r").alias("a"), F.col("to").alias("a2")), hooks.select(F.col("r").alias("b"), F.col("to").alias("b2"))
-        live = materialize(
+        moved = materialize(
             live.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")).where("a <> b").distinct(),
             f"{name}-live",
         )
+        discard(hooks, *done)
+        parent, live, done = roots, moved, (roots, moved)
 
 
 def _parts(members: DataFrame, unit: list[str]) -> DataFrame:
@@ -236,24 +248,26 @@ def _row_key() -> dict[str, Column]:
 
 
 def _components_of_rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, h1, h2, n_shingles, set_key and the root of its component, null without words."""
+    """Per row of ``docs``: doc_id, h1, h2, n_shingles, set_key, and of its component the root and the smallest doc_id; these three are null without words."""
     texts = docs.select("doc_id", "text").withColumns(_row_key())
     ids = materialize(
         texts.mapInArrow(_bands(shingle), "doc_id long, h1 long, h2 long, n_shingles long, set_key long, bands array<long>"), "neardup-bands"
     )
-    bucket = Window.partitionBy("band")
-    met = (
-        ids.select(F.explode("bands").alias("band"), "set_key")
-        .select("band", "set_key", F.min("set_key").over(bucket).alias("hub"), F.max("set_key").over(bucket).alias("top"))
-        .where("hub <> top")
-        .select("band", "set_key", "hub")
-        .distinct()
-    )
+    # counted before the shuffle, so the sets of a frequent band don't meet; the join back splits such a band
+    bands = ids.select(F.explode("bands").alias("band"), "set_key")
+    shared = bands.groupBy("band").agg(F.min("set_key").alias("hub"), F.max("set_key").alias("top")).where("hub <> top").select("band", "hub")
+    shared = materialize(shared, "neardup-bands-shared")
+    met = bands.join(shared, "band").select("band", "set_key", "hub").distinct()
     met = materialize(met, "neardup-met")
     cells = components(met.select(F.col("set_key").alias("a"), F.col("hub").alias("b")).distinct(), "neardup-cells")
 
-    one_row = ids.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("h1", "h2")).alias("row"), F.max("n_shingles").alias("n_shingles"))
-    one_row = one_row.select("set_key", "row.h1", "row.h2", "n_shingles")
+    per_set = (
+        ids.where("n_shingles > 0").groupBy("set_key")
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("h1", "h2")).alias("row"), F.max("n_shingles").alias("n_shingles"))
+        .select("set_key", "least", "row.h1", "row.h2", "n_shingles")
+    )
+    per_set = materialize(per_set, "neardup-per-set")
+    one_row = per_set.select("set_key", "h1", "h2", "n_shingles")
     members = _parts(cells.select(F.col("node").alias("set_key"), F.col("root").alias("cell")).join(one_row, "set_key"), ["cell"])
     sets = materialize(
         texts.join(members.select("h1", "h2", "set_key", "cell", "parts"), ["h1", "h2"])
@@ -316,8 +330,14 @@ def _components_of_rows(docs: DataFrame, shingle: int, threshold: int) -> DataFr
     more = both.groupBy("task").applyInPandas(_block_links(threshold), "a long, b long")
     roots = components(links.union(materialize(more, "neardup-more")), "neardup-all")
 
-    ids = ids.drop("bands").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-    return materialize(ids.select("doc_id", "h1", "h2", "n_shingles", "set_key", F.coalesce("root", "set_key").alias("root")), "neardup-ids")
+    # the smallest doc_id by set, then by component; each join has one row a key on its right and can split a hot key on its left
+    linked = per_set.select("set_key", "least").join(roots.withColumnRenamed("node", "set_key"), "set_key")
+    linked = materialize(linked, "neardup-linked")
+    of_root = materialize(linked.groupBy("root").agg(F.min("least").alias("first")), "neardup-firsts")
+    found = linked.select("set_key", "root").join(of_root, "root").select("set_key", "root", "first")
+    every = per_set.select("set_key", "least").join(found, "set_key", "left")
+    every = materialize(every.select("set_key", F.coalesce("root", "set_key").alias("root"), F.coalesce("first", "least").alias("least")), "neardup-sets-rooted")
+    return ids.drop("bands").join(every, "set_key", "left").select("doc_id", "h1", "h2", "n_shingles", "set_key", "root", "least")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> DataFrame:
@@ -331,9 +351,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> D
     Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
     ids = _components_of_rows(docs, shingle, threshold)
-    least = ids.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     first = F.coalesce("least", "doc_id")
-    return ids.join(least, "root", "left").select("doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
+    return ids.select("doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 80) -> DataFrame:
