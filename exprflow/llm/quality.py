@@ -15,13 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .arrowtext import mix64, slices, split_words, utf8_bytes, windows
+from .langid import hash_cut
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-#: Labelled rows that a decision list is fitted on, at most; chosen by a hash of doc_id.
+#: Labelled rows that a decision list is fitted on, about at most; chosen by a hash of the row.
 FIT_ROWS = 20_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_wordless"]
 RATIOS = {
@@ -195,17 +197,23 @@ def fit_rules(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **o
     """Learn from the labelled rows of ``stats``; ``labels`` holds doc_id and quality (0 is bad).
 
     Null labels count for nothing; of several labels of a doc_id the lowest holds. At most about
-    ``fit_rows`` rows come to the driver, those with the smallest hashes, as seven numbers each.
+    ``fit_rows`` rows come to the driver, those with the smallest 64-bit hashes, as seven numbers each; rows alike in all of them count once.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = materialize(stats.join(known, "doc_id").select("doc_id", "quality", *[F.expr(e).cast("double").alias(k) for k, e in RATIOS.items()]), "quality-fit")
+    features = [F.expr(e).cast("double").alias(k) for k, e in RATIOS.items()]
+    seen = stats.join(known, "doc_id").select("doc_id", "quality", *features).withColumn("u", F.xxhash64("doc_id", *RATIOS, F.lit(17)))
+    seen = materialize(seen, "quality-fit")
     n = seen.count()
-    share = min(1.0, fit_rows / max(1, n))
-    sample = seen.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)).toPandas()
-    sample = sample.sort_values(["doc_id", *RATIOS], ignore_index=True)
+    drawn = seen if n <= fit_rows else seen.where(F.col("u") <= F.lit(hash_cut(fit_rows, n)))
+    sample = drawn.distinct().drop("u").toPandas().sort_values(["doc_id", *RATIOS], ignore_index=True)
     return learn_rules({k: sample[k].to_numpy(float) for k in RATIOS}, (sample["quality"] == 0).to_numpy(), **options)
 
 
+def base_failed() -> Column:
+    """Over STATS: fewer than MIN_WORDS words, or too many of them in repeated windows."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Return per row: doc_id, STATS, base_failed, kept.
 
@@ -215,27 +223,28 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     stats = materialize(quality_stats(docs), "quality-stats")
     good = rules_column(fit_rules(stats, labels, **options))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return stats.select("*", failed.alias("base_failed"), (~failed & good).alias("kept"))
+    return stats.select("*", base_failed().alias("base_failed"), (~base_failed() & good).alias("kept"))
+
+
+def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", 4 << 20):
+        stats = text_stats(part.column("text"))
+        packed = pa.StructArray.from_arrays([pa.array(stats[c], pa.int64()) for c in STATS], STATS)
+        yield pa.RecordBatch.from_arrays([*part.columns, packed], names=[*part.schema.names, STATS_COLUMN])
+
+
+#: Column that holds STATS beside the columns of documents while they are filtered.
+STATS_COLUMN = "_exprflow_quality_stats"
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns they came with."""
-    rules = fit_rules(materialize(quality_stats(docs), "quality-stats"), labels, **options)
-    names = docs.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
-            s = text_stats(part.column("text"))
-            n = np.maximum(s["n_words"], 1)
-            x = {
-                "n_words": s["n_words"], "mean_word": s["word_chars"] / n, "symbols_per_word": s["n_symbols"] / n,
-                "dup_line_share": s["n_dup_lines"] / np.maximum(s["n_lines"], 1), "repeat_share": s["n_repeat_words"] / n,
-                "distinct_share": s["n_distinct_words"] / n, "wordless_share": s["n_wordless"] / n,
-            }
-            good = (s["n_words"] >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * s["n_words"])
-            for rule in rules:
-                good &= ~rule.covers(x)
-            yield part.filter(pa.array(good)).select(names)
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows of ``docs`` that ``judge`` keeps, with the columns they came with, whatever their names but STATS_COLUMN.
+
+    The statistics are computed once and written beside the documents; the rules are Spark conditions over them.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(STATS_COLUMN, T.StructType.fromDDL(", ".join(f"{c} long" for c in STATS)))])
+    both = materialize(docs.mapInArrow(_with_stats, schema), "quality-documents")
+    stats = both.select("doc_id", f"{STATS_COLUMN}.*")
+    kept = ~base_failed() & rules_column(fit_rules(stats, labels, **options))
+    judged = both.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), f"{STATS_COLUMN}.*")
+    return judged.where(kept).select("doc.*")

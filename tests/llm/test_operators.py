@@ -393,3 +393,70 @@ def test_quality_rules(spark, docs, empty):
     assert (got[2003].n_dup_lines, got[2003].n_symbols, got[2003].word_chars) == (1, 2, 6)
     assert quality.filter_documents(d, lab).count() == sum(r.kept for r in got.values())
     assert quality.judge(empty, lab).count() == 0 and quality.judge(d, lab.limit(0)).where("kept").count() == 400
+
+
+def plain_stats(text):
+    """STATS by plain Python."""
+    t = text or ""
+    w, lines = words(t), [x for x in t.split("\n") if words(x)]
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    repeated = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(repeated), "n_lines": len(lines), "n_distinct_words": len(set(w)), "n_wordless": sum(not any(map(str.isalpha, x)) for x in w),
+    }
+
+
+def odd_texts():
+    pieces = ["a", "b", "été", "##", "$5", "<x>", "\n", "\n\n", " ", "\t", "\x0b", "\u00a0", "中文", "the same eight words in a row here", "1", "a\na", "\r\n", "😀"]
+    return [None, "", " ", "\n"] + [" ".join(RNG.choice(pieces, RNG.integers(1, 60))) for _ in range(300)] + ["".join(RNG.choice(pieces, 30)) for _ in range(100)] + ["lorem ipsum " * 30_000]
+
+
+def test_quality_statistics_equal_plain_counts(spark):
+    texts = odd_texts()
+    d = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[7])], "doc_id long, text string").withColumn("n_words", F.lit("x"))
+    got = Counter((r.doc_id, *(r[c] for c in quality.STATS)) for r in quality.quality_stats(d).collect())
+    rows = [*enumerate(texts), (3, texts[7])]
+    assert got == Counter((i, *(plain_stats(t)[c] for c in quality.STATS)) for i, t in rows)
+
+
+def test_decision_list_of_columns_equals_plain_rules(spark):
+    rules = [quality.Rule([("symbols_per_word", True, 0.2), ("n_words", False, 30.0)]), quality.Rule([("mean_word", True, 4.0)]), quality.Rule([("dup_line_share", True, 0.5)])]
+    texts = odd_texts()
+    stats = quality.quality_stats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.ok for r in stats.select("doc_id", quality.rules_column(rules).alias("ok")).collect()}
+    for i, t in enumerate(texts):
+        s = plain_stats(t)
+        n = max(s["n_words"], 1)
+        hit = (s["n_symbols"] / n > 0.2 and s["n_words"] <= 30) or s["word_chars"] / n > 4 or s["n_dup_lines"] / max(s["n_lines"], 1) > 0.5
+        assert got[i] == (not hit)
+    assert spark.range(1).select(quality.rules_column([])).first()[0] is True
+
+
+def test_quality_sample_is_bounded_at_any_size(spark):
+    rows = [(i, sentence(25), i % 5 > 0) for i in range(400)] + [(7, "one text again and again", 1)] * 300 + [(None, "x", 0)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(q)) for i, _, q in rows] + [(3, None)], "doc_id long, quality int")
+    seen = {}
+
+    def spy(x, bad, **_):
+        seen["n"] = len(bad)
+        return []
+
+    real, quality.learn_rules = quality.learn_rules, spy
+    try:
+        quality.fit_rules(quality.quality_stats(d), lab, fit_rows=50)
+    finally:
+        quality.learn_rules = real
+    assert 20 <= seen["n"] <= 140
+    for n in (10**6, 10**11, 10**14):
+        assert 20_000 < n * (langid.hash_cut(20_000, n) + 2**63) / 2**64 < 21_000
+
+
+def test_filter_keeps_what_judge_keeps_with_clashing_columns(spark):
+    d = spark.createDataFrame([(i, sentence(40) if i % 3 else " | ".join(sentence(40).split()), 5, "k") for i in range(120)] + [(None, None, 1, "z"), (4, "x", 2, None)], "doc_id long, text string, n_words int, kept string")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    got = quality.filter_documents(d, lab)
+    assert got.columns == d.columns and got.schema == d.schema
+    kept = {r.doc_id for r in quality.judge(d, lab).where("kept").collect()}
+    assert {(r.doc_id, r.n_words, r.kept) for r in got.collect()} == {(i, 5, "k") for i in kept} and kept == {i for i in range(120) if i % 3}
