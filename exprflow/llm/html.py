@@ -1,10 +1,11 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and threshold clustering.
 
-The standard library's parser streams a page into lines, one a block. Each line has a ratio of its text
-to the tags in it; the ratios are smoothed with a Gaussian, and a threshold that splits them into two clusters
-picks content lines. The content region is the articles that hold the picked lines or, without them, the lowest common
-container of all picked lines and those around it that add more than links; lines of menus and other boilerplate
-containers never belong to it.
+The standard library's parser streams a page into lines, one a block. Each line has a ratio of its text outside of links to the
+tags in it; the ratios are smoothed with a Gaussian over the lines, in which borders of containers count as distance, so
+a short paragraph has the ratio of the article around it and a footer its own. The logarithm of the ratio is the line's evidence;
+elements that are typed or named as boilerplate, and articles and headings, shift it. A threshold that splits the page's lines
+into two clusters, held within bounds for pages of one kind, picks the content lines, and lines in between the thresholds join
+content lines next to them. Only what can't be text (scripts, styles, hidden parts) is left out beforehand.
 """
 
 from __future__ import annotations
@@ -25,33 +26,43 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Containers whose text is never the article's.
-OUTSIDE = frozenset(
-    "head title script style noscript template nav menu footer aside form button select textarea option label iframe object svg math canvas dialog".split()
-)
-RAW = frozenset(["script", "style"])
+#: Elements whose content isn't text of the page.
+OUTSIDE = frozenset("head title script style noscript template button select textarea option label iframe object svg math canvas".split())
 CLOSES_P = BLOCK - {"body", "html"}
-#: Words of class, id and role that name boilerplate; a name counts if all its parts do, so "has-sidebar" doesn't.
-NOISE = re.compile(
-    r"(?:site[_-])?(?:WORD)(?:[_-](?:WORD))*".replace(
-        "WORD",
-        r"ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|menu[a-z]*|nav[a-z]*|breadcrumb[a-z]*|sidebar|side|footer|header|masthead|cookies?|consent|notices?|alert|"
-        r"popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend[a-z]*|comments?|disqus|repl(?:y|ies)|widget|toolbar|pagination|pager|"
-        r"navigation|contentinfo|complementary|search",
-    ),
-    re.I,
+#: Elements whose borders count as distance.
+CONTAINERS = frozenset("article main section div body td blockquote nav aside footer header menu form dialog".split())
+#: Shifts of evidence, in units of the logarithm: by kind of element, and by names of class, id and role.
+SHIFTS = {"nav": -6.0, "menu": -6.0, "footer": -6.0, "aside": -6.0, "dialog": -6.0, "form": -8.0, "header": -4.0, "article": 1.0, "main": 1.0}
+KINDS = frozenset(["nav", "menu", "footer", "aside", "dialog"])
+HEADINGS, HEADING_SHIFT = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"]), 1.5
+STRONG, WEAK = -6.0, -3.0
+#: Bounds of the threshold.
+LOW, HIGH = 2.5, 4.0
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(r"(?:site[_-])?(?:WORD)(?:[_-](?:WORD))*".replace("WORD", words), re.I)
+
+
+_SURE = (
+    r"ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|menu[a-z]*|nav[a-z]*|breadcrumb[a-z]*|sidebar|footer|masthead|cookies?|consent|newsletter|subscribe|"
+    r"comments?|disqus|repl(?:y|ies)|pagination|pager|navigation|contentinfo|complementary"
 )
+_LIKELY = r"banner|side|header|notices?|alert|popup|modal|signup|login|share|sharing|social|related|recommend[a-z]*|widget|toolbar|search"
+#: A name counts if all its parts do, so "has-sidebar" and "related-work" don't.
+STRONG_NAMES, WEAK_NAMES = _names(_SURE), _names(f"{_SURE}|{_LIKELY}")
 
 
 @dataclass
 class Line:
+    """A block's text, with the tags and characters of links in it, its containers and the numbers of the elements that shift it."""
+
     text: str
     tags: int
+    linked: int
     containers: tuple[int, ...]
-    outside: bool
-    #: open elements that are named as boilerplate, and characters in links
-    noise: tuple[int, ...] = ()
-    linked: int = 0
+    shifted: tuple[int, ...]
+    heading: bool
 
 
 class PageReader(HTMLParser):
@@ -60,18 +71,19 @@ class PageReader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.kinds: list[str] = ["page"]
-        #: open elements: tag, number of its container, whether it or one above is boilerplate, numbers of those named so
-        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = [("page", 0, False, ())]
-        self.named = 0
+        #: open elements: tag, containers, whether it or one above is no text, elements that shift
+        self.open: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = [("page", (0,), False, ())]
+        #: tag and shift of each element that shifts
+        self.shifts: list[tuple[str, float]] = []
+        self.containers = 1
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
+        _, containers, _, shifted = self.open[-1]
         if text:
-            path = tuple(dict.fromkeys(n for _, n, *_ in self.open))
-            self.lines.append(Line(text, self.tags, path, *self.open[-1][2:], self.linked))
+            self.lines.append(Line(text, self.tags, self.linked, containers, shifted, any(t in HEADINGS for t, *_ in self.open)))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -87,20 +99,23 @@ class PageReader(HTMLParser):
                 self.parts.append(" ")
         if tag in VOID:
             return
-        _, number, outside, noise = self.open[-1]
-        if not outside:
-            outside = tag in OUTSIDE or (tag == "header" and not any(t in ("article", "main") for t, *_ in self.open))
-            for k, v in attrs:
-                if k in ("class", "id", "role") and v and tag not in ("body", "html", "main") and any(map(NOISE.fullmatch, v.split())):
-                    if noise == self.open[-1][3]:
-                        self.named += 1
-                        noise = (*noise, self.named)
-                elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)):
-                    outside = True
-        if tag in ("article", "main", "section", "div", "body", "td", "blockquote"):
-            number = len(self.kinds)
-            self.kinds.append(tag)
-        self.open.append((tag, number, outside, noise))
+        _, containers, outside, shifted = self.open[-1]
+        above = {t for t, *_ in self.open}
+        shift = 0.0 if (tag == "header" and above & {"article", "main"}) or (tag in ("article", "main") and above & {"article", "main"}) else SHIFTS.get(tag, 0.0)
+        outside = outside or tag in OUTSIDE
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v and tag not in ("body", "html", "main"):
+                named = [STRONG if STRONG_NAMES.fullmatch(x) else WEAK for x in v.split() if WEAK_NAMES.fullmatch(x)]
+                shift = min([shift, *named])
+            elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)):
+                outside = True
+        if shift:
+            shifted = (*shifted, len(self.shifts))
+            self.shifts.append((tag, shift))
+        if tag in CONTAINERS:
+            containers = (*containers, self.containers)
+            self.containers += 1
+        self.open.append((tag, containers, outside, shifted))
 
     def _close_sibling(self, tag: str) -> None:
         """An item ends where the next of its list begins."""
@@ -132,17 +147,22 @@ class PageReader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1][0] not in RAW:
+        if not self.open[-1][2]:
             self.parts.append(data)
             if any(t == "a" for t, *_ in self.open):
                 self.linked += len(data.strip())
 
 
-def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Gaussian smoothing; at the ends the weights are those inside."""
-    r = np.arange(-3, 4)
-    kernel = np.exp(-0.5 * (r / sigma) ** 2)
-    return np.convolve(x, kernel, "full")[3:-3] / np.convolve(np.ones(len(x)), kernel, "full")[3:-3]
+def smooth(x: np.ndarray, at: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian smoothing of values at rising places, over three on either side."""
+    total, weight = x.copy(), np.ones(len(x))
+    for k in range(1, min(4, len(x))):
+        w = np.exp(-0.5 * ((at[k:] - at[:-k]) / sigma) ** 2)
+        total[:-k] += w * x[k:]
+        weight[:-k] += w
+        total[k:] += w * x[:-k]
+        weight[k:] += w
+    return total / weight
 
 
 def two_clusters(x: np.ndarray) -> float:
@@ -157,43 +177,43 @@ def two_clusters(x: np.ndarray) -> float:
     return t
 
 
-def without_noise(lines: list[Line], kinds: list[str]) -> list[Line]:
-    """The lines in no element named as boilerplate.
+def places(lines: list[Line]) -> np.ndarray:
+    """Where each line is: one after the line before, and one more for each container that ends or begins between them."""
+    step = [0]
+    for a, b in zip(lines, lines[1:], strict=False):
+        same = next((i for i, (x, y) in enumerate(zip(a.containers, b.containers, strict=False)) if x != y), min(len(a.containers), len(b.containers)))
+        step.append(1 + len(a.containers) + len(b.containers) - 2 * same)
+    return np.cumsum(step)
+
+
+def shifts_of(lines: list[Line], shifts: list[tuple[str, float]]) -> np.ndarray:
+    """The shift of each line: the least and, if positive, the largest of the elements around it.
 
-    The name doesn't count for an element that holds all articles (or, without articles, all ``main``) of the page or,
-    on a page without either, more than half of its text; nor for any, if nothing were left.
+    An element that holds all articles of the page (or, without articles, all of ``main``) is no boilerplate, whatever its name; nor is, on a
+    page without either, one that holds more than half of the text, unless its very kind says so.
     """
-    for kind in ("article", "main"):
-        held: dict[int, set[int]] = {}
-        for x in lines:
-            for n in x.containers:
-                if kinds[n] == kind:
-                    held[n] = held.get(n, set(x.noise)) & set(x.noise)
-        if held:
-            kept = set.intersection(*held.values())
-            break
-    else:
-        size, total = {}, sum(len(x.text) for x in lines)
-        for x in lines:
-            for n in x.noise:
-                size[n] = size.get(n, 0) + len(x.text)
-        kept = {n for n, s in size.items() if 2 * s > total}
-    return [x for x in lines if kept.issuperset(x.noise)] or lines
-
-
-def common_container(lines: list[Line], picked: np.ndarray) -> int:
-    """The lowest container of all picked lines (but those that are mostly links), or one around it while what that adds isn't mostly links."""
-    core = [x for x, p in zip(lines, picked, strict=True) if p and 2 * x.linked <= len(x.text)] or lines
-    path = core[0].containers
-    for x in core:
-        path = path[: next((i for i, (a, b) in enumerate(zip(path, x.containers, strict=False)) if a != b), min(len(path), len(x.containers)))]
-    at = len(path) - 1
-    while at > 0:
-        added = [x for x in lines if path[at - 1] in x.containers and path[at] not in x.containers]
-        if 2 * sum(x.linked for x in added) > sum(len(x.text) for x in added):
-            break
-        at -= 1
-    return path[at]
+    size, total = [0] * len(shifts), sum(len(x.text) for x in lines)
+    inside: dict[int, set[int]] = {}
+    for x in lines:
+        for e in x.shifted:
+            size[e] += len(x.text)
+            inside[e] = inside.get(e, set(x.shifted)) & set(x.shifted)
+    tops = [e for e in inside if shifts[e][0] == "article"] or [e for e in inside if shifts[e][0] == "main"]
+    around = set.intersection(*(inside[e] for e in tops)) - set(tops) if tops else set()
+    large = {e for e, n in enumerate(size) if not tops and 2 * n > total and shifts[e][0] not in KINDS}
+    value = [0.0 if s < 0 and (e in around or e in large) else s for e, (_, s) in enumerate(shifts)]
+    return np.array([min([0.0, *(value[e] for e in x.shifted)]) + max([0.0, *(value[e] for e in x.shifted)]) for x in lines])
+
+
+def grow(evidence: np.ndarray, shift: np.ndarray, at: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Picked lines, and lines of at least LOW next to one that aren't further inside of boilerplate."""
+    out = picked.copy()
+    for order in (range(1, len(at)), range(len(at) - 2, -1, -1)):
+        for i in order:
+            j = i - 1 if order.step > 0 else i + 1
+            if not out[i] and out[j] and evidence[i] >= LOW and shift[i] >= min(shift[j], 0.0) and abs(at[i] - at[j]) <= 2:
+                out[i] = True
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -204,22 +224,18 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     reader.flush()
-    lines = without_noise([x for x in reader.lines if not x.outside], reader.kinds)
+    lines = reader.lines
     if not lines:
         return ""
-    ratio = smooth(np.array([len(x.text) / (1 + x.tags) for x in lines], float))
-    picked = ratio >= two_clusters(ratio)
-    size = np.array([len(x.text) for x in lines]) * picked
-    articles = {n for x in lines for n in x.containers if reader.kinds[n] == "article"} or {
-        n for x in lines for n in x.containers if reader.kinds[n] == "main"
-    }
-    outer = {next((n for n in x.containers if n in articles), None) for x in lines} - {None}
-    held = {n: sum(s for x, s in zip(lines, size, strict=True) if n in x.containers) for n in outer}
-    if held and 2 * sum(held.values()) >= size.sum():
-        region = {n for n, s in held.items() if s}
-    else:
-        region = {common_container(lines, picked)}
-    return "\n\n".join(x.text for x in lines if region & set(x.containers))
+    at, shift = places(lines), shifts_of(lines, reader.shifts)
+    ratio = smooth(np.array([(len(x.text) - min(x.linked, len(x.text))) / (1 + x.tags) for x in lines], float), at)
+    evidence = np.log1p(ratio) + shift + HEADING_SHIFT * np.array([x.heading for x in lines])
+    threshold = two_clusters(evidence)
+    picked = evidence >= min(max(threshold, LOW), HIGH)
+    if not picked.any():  # a page of a few words
+        picked = (evidence >= threshold) & (evidence > 0)
+    picked = grow(evidence, shift, at, picked)
+    return "\n\n".join(x.text for x, p in zip(lines, picked, strict=True) if p)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
