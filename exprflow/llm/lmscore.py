@@ -1,27 +1,34 @@
 """Stupid-backoff scores of documents by an n-gram model of all other documents.
 
-Documents are dealt into chunks. A chunk sends its distinct n-grams, as sorted hashes with counts,
-to buckets of the hash range; a bucket adds up what all chunks sent, which is its part of the count
-table, joins the totals back to each chunk's n-grams and returns them; a chunk sums its documents'
-scores. N-grams travel packed, a column of bytes a chunk and bucket, as rows of their own would need
-several times the space. A document's own counts are taken off, else no n-gram of it were unseen.
+Documents are dealt into chunks of bounded size. A chunk counts its n-grams, as 64-bit hashes, and sends them as rows of some
+dozens, by range of the hash. Dealt by range, these are exploded into (chunk, n-gram, count); the sum over all rows of an n-gram
+is its place in the count table, which a window joins to each of the rows it was counted from, so that the count table and the exploded n-grams
+share one exchange and one sort. What other chunks have too returns to each chunk, and a chunk sums its documents' scores. An n-gram comes from a chunk once at most, so the commonest word has no more rows than
+there are chunks, spread like any other. A document's own counts are taken off, else no n-gram of it were unseen. Two n-grams share a hash
+with a probability of 2**-64 a pair: of 1e13 different ones, a few million would.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cores
 from .arrowtext import Words, split_words, windows
 
-#: Bytes of text in a chunk; hash ranges, at most.
-CHUNK_BYTES, MAX_BUCKETS = 10 << 20, 4096
+#: Bytes of text in a chunk, and of text whose n-grams a partition of the count table holds; partitions, at most.
+CHUNK_BYTES, COUNT_BYTES, MAX_COUNT_PARTITIONS = 10 << 20, 16 << 20, 50_000
+#: Bytes of text in a chunk for each range that it sends: some 80 n-grams.
+RANGE_BYTES = 640
 ALPHA = 0.4
 _BIGRAM = np.uint64(0xA24BAED4963EE407)
+#: Stands for any word at all, as an n-gram of no words.
+_ANY = np.uint64(0x8B5AD4CE9D3A2F17)
 
 
 def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -34,59 +41,81 @@ def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte by byte over all numbers, so sorted numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
+def _counted(words: Words, by_length: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted n-grams of some texts, with _ANY, and their counts."""
+    grams, n = np.unique(np.concatenate([np.full(1, _ANY), *(h for _, h in by_length)]), return_counts=True)
+    n[np.searchsorted(grams, _ANY)] += len(words.codes) - 1
+    return grams, n
 
-def _numbers(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
+def _starts(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of the hash begins among sorted n-grams, and their number."""
+    return np.searchsorted(grams >> np.uint64(64 - int(math.log2(ranges))), np.arange(ranges + 1, dtype=np.uint64))
 
-def _send(buckets: int, order: int):
-    shift = np.uint64(64 - int(math.log2(buckets)))
 
+def _send(ranges: int, order: int):
     def run(table: pa.Table) -> pa.Table:
         words = split_words(table["text"].combine_chunks(), lower=True)
-        grams, n = np.unique(np.concatenate([h for _, h in _grams(words, order)]), return_counts=True)
-        n = n.astype(np.uint32)
-        ends = np.searchsorted(grams >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(grams)])
-        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        grams, n = _counted(words, _grams(words, order))
+        ends = _starts(grams, ranges)
+        some = np.flatnonzero(np.diff(ends))
+        cuts = pa.array(np.append(ends[some], len(grams)), pa.int32())
         return pa.table(
             {
-                "chunk": pa.array(np.full(buckets, table["chunk"][0].as_py()), pa.int64()),
-                "bucket": pa.array(np.arange(buckets), pa.int64()),
-                "words": pa.array(np.full(buckets, len(words.codes)), pa.int64()),
-                "grams": pa.array([_planes(grams[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([_planes(n[a:b]) for a, b in spans], pa.binary()),
+                "chunk": pa.array(np.full(len(some), table["chunk"][0].as_py()), pa.int64()),
+                "range": pa.array(some, pa.int32()),
+                "grams": pa.ListArray.from_arrays(cuts, pa.array(grams.view(np.int64))),
+                "counts": pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32())),
             }
         )
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    grams = [_numbers(x, np.uint64) for x in table["grams"].to_pylist()]
-    counts = np.concatenate([_numbers(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
-    sizes = np.array([len(x) for x in grams])
-    flat = np.concatenate(grams)
-    totals = np.zeros(len(flat), np.uint64)
-    if len(flat):
-        order = np.argsort(flat, kind="stable")
-        first = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
-        sums = np.add.reduceat(counts[order], np.flatnonzero(first))
-        totals[order] = sums[np.cumsum(first) - 1]
-    ends = np.cumsum(sizes)
-    total_words = sum(table["words"].to_pylist())
-    return pa.table(
-        {
-            "chunk": table["chunk"],
-            "bucket": table["bucket"],
-            "words": pa.array(np.full(len(sizes), total_words), pa.int64()),
-            "totals": pa.array([_planes(totals[b - s : b]) for s, b in zip(sizes, ends, strict=True)], pa.binary()),
-        }
-    )
+SENT = "chunk long, range int, grams array<long>, counts array<int>"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte over all numbers, so sorted numbers compress."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(len(x), 8).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+#: Rows that are packed at once on their way back.
+PACK_ROWS = 1 << 20
+FOUND = "chunk long, places binary, totals binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, range, pos, total) as rows of a chunk with many places (range, pos) and totals."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        chunk, total = t["chunk"].to_numpy(), t["total"].to_numpy()
+        place = t["range"].to_numpy().astype(np.int64) << 32 | t["pos"].to_numpy()
+        order = np.lexsort((place, chunk))
+        chunk, place, total = chunk[order], place[order], total[order]
+        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=True))
+        for i in range(0, len(spans), 4096):
+            some = spans[i : i + 4096]
+            blobs = [pa.array([_planes(x[a:b]) for a, b in some], pa.binary()) for x in (place, total)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[[a for a, _ in some]]), *blobs], names=["chunk", "places", "totals"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= PACK_ROWS:
+            yield from packed(held)
+            held, rows = [], 0
+    if held:
+        yield from packed(held)
 
 
 def _own(owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -95,14 +124,16 @@ def _own(owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def _score(docs: pa.Table, totals: pa.Table, order: int) -> pa.Table:
+def _score(docs: pa.Table, found: pa.Table, order: int, ranges: int) -> pa.Table:
     words = split_words(docs["text"].combine_chunks(), lower=True)
     by_length = _grams(words, order)
-    grams = np.unique(np.concatenate([h for _, h in by_length]))
-    at_bucket = np.argsort(totals["bucket"].to_numpy())
-    packed = totals["totals"].to_pylist()
-    total = np.concatenate([_numbers(packed[i], np.uint64) for i in at_bucket]).astype(np.int64) if packed else np.zeros(0, np.int64)
-    n_all = totals["words"][0].as_py() if len(packed) else 0
+    grams, total = _counted(words, by_length)
+    total = total.astype(np.int64)  # right where no other chunk has the n-gram
+    first = _starts(grams, ranges)
+    for places, totals in zip(found["places"].to_pylist(), found["totals"].to_pylist(), strict=True):
+        at = _numbers(places)
+        total[first[at >> 32] + (at & 0xFFFFFFFF)] = _numbers(totals)
+    n_all = int(total[np.searchsorted(grams, _ANY)])
     owner = words.owner
     rest = np.maximum(n_all - words.counts, 1)[owner].astype(float)
     for k, (at, h) in enumerate(by_length, 1):
@@ -143,22 +174,26 @@ def stupid_backoff(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, order: int =
     words before it (or those there are) scores c(all of them) / c(those before) if all of them occur elsewhere, else 0.4 times
     what it scores after one word less. Alone it scores c(word) / words, or 0.4 / words if it occurs nowhere else.
     ``n_backoff`` counts the words whose longest n-gram occurs nowhere else. ``score`` is the mean log10 over the words, null
-    without words. A repeated row is another row, so copies vouch for each other. Other columns are ignored; an empty
-    table gives an empty result.
+    without words. A repeated row is another row, so copies vouch for each other; rows alike in doc_id and text share a chunk.
+    Other columns are ignored; an empty table gives an empty result.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
-    buckets = min(MAX_BUCKETS, 1 << max(1, chunks - 1).bit_length())
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).alias("chunk"))
-    sent = dealt.groupBy("chunk").applyInArrow(_send(buckets, order), "chunk long, bucket long, words long, grams binary, counts binary")
-    totals = sent.groupBy("bucket").applyInArrow(_add_up, "chunk long, bucket long, words long, totals binary")
-
-    def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        return _score(docs, totals, order)
-
-    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
+    partitions = min(max(math.ceil(size * (order / 2) / COUNT_BYTES), cores(docs.sparkSession)), MAX_COUNT_PARTITIONS)
+    ranges = 1 << math.ceil(math.log2(max(2, chunk_bytes / RANGE_BYTES, 8 * partitions)))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    sent = dealt.groupBy("chunk").applyInArrow(_send(ranges, order), SENT).repartition(partitions, "range")
+    rows = sent.select("chunk", "range", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "x")).select("chunk", "range", "pos", "x.grams", "x.counts")
+    same = Window.partitionBy("range", "grams")  # the range is known from the hash, and keeps the rows where they are
+    found = rows.select("chunk", "range", "pos", "counts", F.sum("counts").over(same).alias("total")).where("total > counts")
+    found = found.select("chunk", "range", "pos", "total").mapInArrow(_pack, FOUND)
+
+    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
+        return _score(docs, found, order, ranges)
+
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         score, "doc_id long, n_words long, n_backoff long, n_unseen long, score double"
     )
 
