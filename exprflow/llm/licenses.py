@@ -1,8 +1,10 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
-Templates are short, so their index is a table of a few hundred fingerprints that every task holds.
-Texts are scanned whole: each run of ``K`` words is looked up in the index; the hits of a template on close
-diagonals are one candidate, which is aligned to the template inside a band around them.
+Templates are short, so their index is a table of some hundred fingerprints that every task holds.
+Texts are scanned whole: each run of ``K`` words is looked up in the index (of ``SHORT_K`` words for notices so short that a changed word
+may leave no longer run); the hits of a template on close diagonals are one candidate. Where the words around it can reach
+the coverage at all, they are aligned to the template inside a band around the diagonals. A candidate's window is as long as the
+template and three bands, whatever the text.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +25,8 @@ from .arrowtext import Words, slices, split_words, windows
 
 #: Words in a fingerprint; fingerprints of which one is kept; half width of the band, in words.
 K, WINNOW, BAND = 3, 4, 8
+#: Words in a fingerprint of templates of at most SHORT words, and hits that make a candidate of one.
+SHORT, SHORT_K, SHORT_HITS = 5, 2, 2
 MIN_COVERAGE = 0.8
 SIGNS = ".,;:()[]\"'*#/-"
 
@@ -44,6 +49,10 @@ TEMPLATES = {
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
     "BSD-3-Clause-text": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission. " + _BSD_END,
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+    "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "CC0-1.0": "Licensed under CC0 1.0 Universal.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "ISC": "Licensed under the ISC License.",
@@ -75,7 +84,7 @@ for _name, _long, _versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2
         )
 
 #: Words that tell licenses apart; a number tells versions apart if it follows one of AFTER or has a point.
-DECIDING = re.compile(r"lesser|library|affero|gnu|apache|mozilla|mit|isc|bsd|[23]-clause|cc0|by(?:-(?:nc|sa|nd))*|attribution[a-z-]*|non-?commercial|share-?alike|no-?derivatives")
+DECIDING = re.compile(r"lesser|library|affero|gnu|apache|mozilla|boost|eclipse|mit|isc|bsd|[23]-clause|cc0|by(?:-(?:nc|sa|nd))*|attribution[a-z-]*|non-?commercial|share-?alike|no-?derivatives")
 NUMBER, AFTER = re.compile(r"v?\d+(?:\.\d+)*"), frozenset(["version", "v", "license", "by", "cc0"])
 
 
@@ -95,19 +104,33 @@ def winnow(h: np.ndarray, window: int) -> list[int]:
     return sorted({i + window - 1 - int(np.argmin(h[i : i + window][::-1])) for i in range(len(h) - window + 1)})
 
 
+@dataclass(frozen=True)
+class Index:
+    """Templates and, for each length of fingerprints, their sorted distinct values with the (template, position) of each."""
+
+    names: list[str]
+    hashes: list[np.ndarray]
+    wanted: list[set[str]]
+    prints: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @lru_cache(maxsize=8)
-def template_index(items: tuple[tuple[str, str], ...]) -> tuple[list[str], list[np.ndarray], np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """(names, word hashes, sorted fingerprints, fingerprint to (template, position))."""
-    words = _plain(split_words(pa.array([t for _, t in items]), lower=True))
-    owner, at, h = windows(words, K)
-    each, index = words.hashes(), defaultdict(list)
-    for t in range(len(items)):
-        mine = np.flatnonzero(owner == t)
-        window = WINNOW if len(mine) > 3 * WINNOW else 1  # short notices keep every fingerprint
-        for i in winnow(h[mine], window):
-            index[int(h[mine[i]])].append((t, int(at[mine[i]] - words.offsets[t])))
+def template_index(items: tuple[tuple[str, str], ...]) -> Index:
+    words = _plain(split_words(pa.array([t for _, t in items], pa.string()), lower=True))
+    each, prints = words.hashes(), {}
+    for k in (SHORT_K, K):
+        owner, at, h = windows(words, k)
+        found = []
+        for t in np.flatnonzero((words.counts <= SHORT) == (k == SHORT_K)):
+            mine = np.flatnonzero(owner == t)
+            window = WINNOW if len(mine) > 3 * WINNOW else 1  # short notices keep every fingerprint
+            found += [(int(h[mine[i]]), int(t), int(at[mine[i]] - words.offsets[t])) for i in winnow(h[mine], window)]
+        found.sort()
+        value = np.array([x for x, *_ in found], np.uint64)
+        distinct, first = np.unique(value, return_index=True)
+        prints[k] = (distinct, np.append(first, len(value)), np.array([t for _, t, _ in found], int), np.array([p for *_, p in found], int))
     hashes = [each[words.offsets[t] : words.offsets[t + 1]] for t in range(len(items))]
-    return [n for n, _ in items], hashes, np.array(sorted(index), np.uint64), dict(index)
+    return Index([n for n, _ in items], hashes, [deciding(_texts(words, t)) for t in range(len(items))], prints)
 
 
 def deciding(words: list[str]) -> set[str]:
@@ -132,63 +155,81 @@ def best_aligned(found: list[tuple[int, str, int, int, int, int]]) -> list[tuple
     return sorted(out)
 
 
-def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best alignment of a template to a part of ``text``.
+def align(template: np.ndarray, text: np.ndarray, band: int = BAND) -> tuple[int, int, int, int]:
+    """(score, matched words, start, end) of the best alignment of a template to a part of ``text``.
 
     Text before and after is free; a match scores 1, a replaced, missing or added word -1. Cells further
-    than ``band`` from the diagonal, counted from any start in the text's slack, aren't computed.
+    than ``band`` from the diagonal, counted from any start in the text's slack, aren't computed. A row of cells is computed at once.
     """
     n, m = len(template), len(text)
-    slack = max(0, m - n) + band
-    score = np.zeros(m + 1)
-    start, hits = np.arange(m + 1), np.zeros(m + 1, int)
+    slack, place = max(0, m - n) + band, np.arange(m + 1)
+    score, start, hits = np.zeros(m + 1, int), place, np.zeros(m + 1, int)
     for i in range(1, n + 1):
-        lo, hi = max(0, i - band), min(m, i + slack)
-        new, s, k = np.full(m + 1, -np.inf), np.zeros(m + 1, int), np.zeros(m + 1, int)
-        for j in range(lo, hi + 1):
-            best = (score[j] - 1, start[j], hits[j])
-            if j:
-                same = int(template[i - 1] == text[j - 1])
-                best = max(best, (score[j - 1] + (1 if same else -1), start[j - 1], hits[j - 1] + same), key=lambda x: x[0])
-                best = max(best, (new[j - 1] - 1, s[j - 1], k[j - 1]), key=lambda x: x[0])
-            new[j], s[j], k[j] = best
-        score, start, hits = new, s, k
+        same = np.concatenate(([False], text == template[i - 1]))
+        across = np.concatenate(([-n - m], score[:-1])) + np.where(same, 1, -1)
+        take = across >= score - 1
+        best = np.where(take, across, score - 1)
+        s = np.where(take, np.concatenate(([0], start[:-1])), start)
+        k = np.where(take, np.concatenate(([0], hits[:-1])) + same, hits)
+        best[(place < i - band) | (place > i + slack)] = -2 * (n + m)
+        # added words: the best cell to the left, one less for each word between
+        left = np.maximum.accumulate(best + place)
+        source = np.maximum.accumulate(np.where(best + place == left, place, 0))
+        score, start, hits = left - place, s[source], k[source]
     end = int(np.argmax(score))
-    return int(hits[end]), int(start[end]), end
+    return int(score[end]), int(hits[end]), int(start[end]), end
+
+
+def _seeds(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, template, diagonal) of each place where a fingerprint of a template occurs, in this order."""
+    out = [(np.zeros(0, int),) * 3]
+    for k, (prints, first, template, place) in index.prints.items():
+        owner, at, h = windows(words, k)
+        if not len(prints) or not len(h):
+            continue
+        where = np.minimum(np.searchsorted(prints, h), len(prints) - 1)
+        hit = np.flatnonzero(prints[where] == h)
+        lo, n = first[where[hit]], np.diff(first)[where[hit]]
+        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hit = np.repeat(hit, n)
+        out.append((owner[hit], template[entry], at[hit] - words.offsets[owner[hit]] - place[entry]))
+    doc, t, diagonal = map(np.concatenate, zip(*out, strict=True))
+    order = np.lexsort((diagonal, t, doc))
+    return doc[order], t[order], diagonal[order]
 
 
 def scan(words: Words, templates: dict[str, str], min_coverage: float) -> list[tuple[int, str, int, int, int, int]]:
     """(text, license, matched words, template words, first word, word after the last) of each match."""
-    names, hashes, prints, index = template_index(tuple(sorted(templates.items())))
+    index = template_index(tuple(sorted(templates.items())))
     words = _plain(words)
-    owner, at, h = windows(words, K)
-    where = np.searchsorted(prints, h)
-    where[where == len(prints)] = 0
-    hit = np.flatnonzero(prints[where] == h) if len(prints) else np.zeros(0, int)
-    seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for i in hit:
-        for t, p in index[int(h[i])]:
-            pos = int(at[i] - words.offsets[owner[i]])
-            seeds[int(owner[i]), t].append((pos - p, pos))
-    if not seeds:
+    doc, template, diagonal = _seeds(words, index)
+    if not len(doc):
         return []
     each, out = words.hashes(), set()
-    wanted = [deciding(_texts(_plain(split_words(pa.array([templates[n]]), lower=True)))) for n in names]
-    for (doc, t), found in seeds.items():
-        body = each[words.offsets[doc] : words.offsets[doc + 1]]
-        found.sort()
-        band = min(BAND, max(1, len(hashes[t]) // 3))  # so a short notice twice in a row is two matches
-        group = [found[0]]
-        for s in [*found[1:], None]:
-            if s is not None and s[0] - group[-1][0] <= band:
-                group.append(s)
-                continue
-            lo = max(0, group[0][0] - band)
-            hi = min(len(body), group[-1][0] + len(hashes[t]) + band)
-            matched, a, b = align(hashes[t], body[lo:hi], band)
-            if matched >= min_coverage * len(hashes[t]) and deciding(_texts(words, doc, lo + a, lo + b)) == wanted[t]:
-                out.add((doc, names[t], matched, len(hashes[t]), lo + a, lo + b))
-            group = [s]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (template[1:] != template[:-1]))))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+        t, d = int(template[a]), int(doc[a])
+        size = len(index.hashes[t])
+        need, least = min_coverage * size, SHORT_HITS if SHORT_K < size <= SHORT else 1
+        if b - a < least:
+            continue
+        body = each[words.offsets[d] : words.offsets[d + 1]]
+        distinct, count = np.unique(index.hashes[t], return_counts=True)
+        local = np.minimum(np.searchsorted(distinct, body), len(distinct) - 1)
+        local = np.where(distinct[local] == body, local, len(distinct))
+        inside = np.concatenate(([0], np.cumsum(local < len(distinct))))
+        band = min(BAND, max(1, size // 3))  # so a short notice twice in a row is two matches
+        i, diagonals = a, diagonal[a:b]
+        while i < b:
+            j = a + int(np.searchsorted(diagonals, diagonal[i] + band, "right"))  # no wider than the band
+            lo, hi = max(0, int(diagonal[i]) - band), min(len(body), int(diagonal[j - 1]) + size + band)
+            enough = j - i >= least and inside[hi] - inside[lo] >= need
+            # no alignment matches more than the words that both have, as often as both have them
+            if enough and np.minimum(np.bincount(local[lo:hi], minlength=len(distinct) + 1)[:-1], count).sum() >= need:
+                _, matched, x, y = align(index.hashes[t], body[lo:hi], band)
+                if matched >= need and deciding(_texts(words, d, lo + x, lo + y)) == index.wanted[t]:
+                    out.add((d, index.names[t], matched, size, lo + x, lo + y))
+            i = j
     return best_aligned(sorted(out))
 
 
