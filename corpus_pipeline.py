@@ -49,7 +49,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Learned stages aren't expressible in SQL; tests hold each stage against a brute-force version.
+#: Learned stages aren't expressible in SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
