@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..session import cores
 from .arrowtext import Words, split_words, windows
 
-#: Bytes of text in a chunk, and of text whose n-grams a partition of the count table holds; partitions, at most.
-CHUNK_BYTES, COUNT_BYTES, MAX_COUNT_PARTITIONS = 10 << 20, 16 << 20, 50_000
+#: Bytes of text in a chunk, and of text whose n-grams a partition of the count table holds; partitions of either kind, at most.
+CHUNK_BYTES, COUNT_BYTES, MAX_PARTITIONS = 10 << 20, 16 << 20, 50_000
 #: Bytes of text in a chunk for each range that it sends: some 80 n-grams.
 RANGE_BYTES = 640
 ALPHA = 0.4
@@ -181,9 +181,10 @@ def stupid_backoff(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, order: int =
         raise ValueError("order must be 2 or more")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
-    partitions = min(max(math.ceil(size * (order / 2) / COUNT_BYTES), cores(docs.sparkSession)), MAX_COUNT_PARTITIONS)
+    partitions = min(max(math.ceil(size * (order / 2) / COUNT_BYTES), cores(docs.sparkSession)), MAX_PARTITIONS)
     ranges = 1 << math.ceil(math.log2(max(2, chunk_bytes / RANGE_BYTES, 8 * partitions)))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    dealt = dealt.repartition(min(max(chunks, cores(docs.sparkSession)), MAX_PARTITIONS), "chunk")  # about a chunk a task, at any size
     sent = dealt.groupBy("chunk").applyInArrow(_send(ranges, order), SENT).repartition(partitions, "range")
     rows = sent.select("chunk", "range", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "x")).select("chunk", "range", "pos", "x.grams", "x.counts")
     same = Window.partitionBy("range", "grams")  # the range is known from the hash, and keeps the rows where they are
