@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,6 +25,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLIC
             end = max(at + 1, int(np.searchsorted(size, base + max_bytes, "right")))
             yield batch.slice(at, end - at)
             at, base = end, int(size[end - 1])
+        pa.default_memory_pool().release_unused()  # workers live on between stages
 
 
 @dataclass
