@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Name of the tokenizer file that queries use, below the folder of public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 4 << 20
 #: Pieces of ASCII and Latin-1 letters alone. Nothing in them composes, and the lower case of each character is one character, so they
@@ -58,6 +58,14 @@ def splits_at_space(definition: dict) -> bool:
     return bool(composes and drops and added and model["type"] == "BPE" and not model.get("dropout"))
 
 
+def definition_of(tokenizer) -> dict:
+    """What splits_at_space reads of a tokenizer, without its vocabulary."""
+    state = lambda x: json.loads(x.__getstate__()) if x else None
+    added = [{k: getattr(t, k) for k in ("content", "lstrip", "rstrip", "single_word", "normalized")} for t in tokenizer.get_added_tokens_decoder().values()]
+    model = {"type": type(tokenizer.model).__name__} | {k: getattr(tokenizer.model, k, None) for k in ("dropout", "continuing_subword_prefix")}
+    return {"normalizer": state(tokenizer.normalizer), "pre_tokenizer": state(tokenizer.pre_tokenizer), "added_tokens": added, "model": model}
+
+
 class PieceEncoder:
     """Encodes arrays of texts; ``path`` names a tokenizers file, None the default one."""
 
@@ -65,7 +73,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        definition = json.loads(self.tokenizer.to_str())
+        definition = definition_of(self.tokenizer)
         #: whether this tokenizer may be fed with pieces; else whole texts are encoded
         self.by_piece = splits_at_space(definition)
         self.plain = self.by_piece and definition["model"].get("continuing_subword_prefix") in (None, "")
