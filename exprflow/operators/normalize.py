@@ -24,8 +24,8 @@ def cpm(counts: DataFrame, prior: float = 1.0) -> DataFrame:
 
 
 def platform_scale(value: Column, above: float = 50.0) -> Column:
-    """Negative values to 0; log2 of values above ``above`` only."""
-    v = F.greatest(value, F.lit(0.0))
+    """Negative values to 0; log2 of values above ``above`` only; nulls stay."""
+    v = F.when(value < 0, 0.0).otherwise(value)
     return F.when(v > above, F.log2(v)).otherwise(v)
 
 
@@ -94,6 +94,25 @@ def repair_probe_ids(ids: Column, width: int | None = None) -> Column:
     return plain if width is None else F.when(plain.rlike(r"^\d+$"), F.lpad(plain, width, "0")).otherwise(plain)
 
 
+def map_probes_repaired(values: DataFrame, probe_map: DataFrame) -> DataFrame:
+    """map_probes and, only if that gives no value at all, once more with the ids of both sides repaired.
+
+    Repaired ids have no trailing ``.0``; ids of digits are padded with zeros to the longest of either side.
+    """
+    direct = map_probes(values, probe_map)
+    if not direct.where("value is not null").isEmpty():
+        return direct
+    plain = [t.withColumn("probe_id", repair_probe_ids(F.col("probe_id").cast("string"))) for t in (values, probe_map)]
+    width = max(t.agg(F.max(F.length("probe_id"))).first()[0] or 0 for t in plain)
+    return map_probes(*(t.withColumn("probe_id", repair_probe_ids(F.col("probe_id"), width or None)) for t in plain))
+
+
+def platform_normalize(expr: DataFrame, above: float = 50.0) -> DataFrame:
+    """A platform's values: no negative ones, log2 of those above ``above``, one distribution for all samples, no negative ones."""
+    scaled = expr.withColumn("value", platform_scale(F.col("value"), above))
+    return quantile_normalize(scaled).withColumn("value", F.when(F.col("value") < 0, 0.0).otherwise(F.col("value")))
+
+
 def combine_matrices(parts: list[DataFrame]) -> DataFrame:
     """One matrix of many (sample_id, probe_id, value): earlier parts win, parts without values are left out."""
     rows = None

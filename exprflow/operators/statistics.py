@@ -296,3 +296,46 @@ def levene_p(w: DataFrame) -> DataFrame:
 
 def normal_p(z: DataFrame) -> DataFrame:
     return z.withColumn("p_value", normal_sf2(F.col("z")))
+
+
+#: Methods of rank_by_variability; the first two statistics have a sign of their own.
+VARIABILITY_METHODS = ("logvar_z", "logvar_ratio", "bf", "levene", "ks", "wasserstein")
+
+
+def rank_by_variability(rows: DataFrame, method: str = "logvar_z") -> DataFrame:
+    """Per gene with three values a group: var_case, var_control, mean_case, mean_control, delta_var, stat, p_value, rank.
+
+    ``rank`` is the statistic with the sign of delta_var (+ for none), or as it is where it has one; 0 for a missing one. The p-value is null for
+    wasserstein and logvar_ratio. Another method is a ValueError.
+    """
+    if method not in VARIABILITY_METHODS:
+        raise ValueError(f"method must be one of {VARIABILITY_METHODS}, got {method!r}")
+    m = group_moments(rows).where("n1 >= 3 and n0 >= 3")
+    m = m.select("gene", F.col("v1").alias("var_case"), F.col("v0").alias("var_control"), F.col("m1").alias("mean_case"), F.col("m0").alias("mean_control"), (F.col("v1") - F.col("v0")).alias("delta_var"))
+    if method == "logvar_z":
+        s = normal_p(variability(rows)).select("gene", F.col("z").alias("stat"), "p_value")
+    elif method == "logvar_ratio":
+        s = variability(rows).select("gene", F.col("log_ratio").alias("stat"), F.lit(None).cast("double").alias("p_value"))
+    elif method in ("bf", "levene"):
+        s = levene_p(levene(rows, "median" if method == "bf" else "mean")).select("gene", F.col("w_stat").alias("stat"), "p_value")
+    else:
+        d = ks_p_value(distribution_distance(rows))
+        s = d.select("gene", F.col("ks").alias("stat"), "p_value") if method == "ks" else d.select("gene", F.col("wasserstein").alias("stat"), F.lit(None).cast("double").alias("p_value"))
+    sign = F.lit(1.0) if method in VARIABILITY_METHODS[:2] else F.when(F.col("delta_var") < 0, -1.0).otherwise(1.0)
+    return m.join(s, "gene", "left").withColumn("rank", F.coalesce("stat", F.lit(0.0)) * sign)
+
+
+def random_effects_tests(effects: DataFrame) -> DataFrame:
+    """random_effects with two-sided normal p-values and their q over all genes."""
+    return benjamini_hochberg(normal_p(random_effects(effects)), "p_value")
+
+
+def combine_ranks(effects: DataFrame, method: str = "random_effects") -> DataFrame:
+    """Rankings of genes by (platform, gene, log_fc, t_stat) as one: stouffer, rank_product or random_effects; another method is a ValueError."""
+    if method == "stouffer":
+        return normal_p(stouffer(effects.select("gene", F.col("t_stat").alias("z"))))
+    if method == "rank_product":
+        return rank_product(effects.select("platform", "gene", F.col("t_stat").alias("value")))
+    if method == "random_effects":
+        return random_effects_tests(effects)
+    raise ValueError(f"no method {method!r} to combine ranks")
