@@ -22,7 +22,7 @@ WORD_BPE = "word_bpe_49k.json"
 #: Pieces that a worker's cache holds before it starts anew.
 CACHE_PIECES = 300_000
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 6 << 20
 #: Pieces of ASCII and Latin-1 letters alone. Nothing in them composes, and the lower case of each character is one character, so they
 #: can be put in lower case first and cut where a run of letters ends or begins (but not after an apostrophe, which starts "'s").
 SIMPLE = r"^[\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]*$"
