@@ -15,6 +15,11 @@ def is_missing(label: Column, vocabulary: list[str] = MISSING) -> Column:
     return F.coalesce(F.lower(F.trim(label)).isin(vocabulary), F.lit(True))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean(label: Column) -> Column:
     """Without control characters, white space runs, or quotes and full stops at the ends."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f]", " "), r"\s+", " ")), r"^[\"'.]+|[\"'.]+$", "")

@@ -27,3 +27,15 @@ def write_manifest(expr: DataFrame, path: str, **provenance: str) -> None:
         F.count_if(F.col("value").isNull()).alias("n_missing"),
     )
     facts.select("*", *[F.lit(v).alias(k) for k, v in sorted(provenance.items())]).write.mode("overwrite").json(path)
+
+
+def append_checkpoint(rows: DataFrame, path: str, by: str) -> None:
+    """Add rows to a JSON-lines checkpoint with a folder for each value of ``by``; a job that fails leaves no half-written files to readers."""
+    rows.write.mode("append").partitionBy(by).json(path)
+
+
+def markdown_table(rows: DataFrame, n: int) -> str:
+    """The first ``n`` rows as a Markdown table for a report; doubles have four digits, bars in texts are escaped, a null is empty."""
+    show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", r"\|").replace("\n", " ")
+    body = [[show(v) for v in r] for r in rows.limit(n).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *body])
