@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import hypergeom_sf, student_sf2
+from .quantiles import exact_quantiles, join_groups
 from .statistics import benjamini_hochberg
 
 
@@ -27,9 +28,9 @@ def transformation(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def bin_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """Histogram bins of each group by four rules, within 10 to 100: sturges, scott, fd, auto. Without spread scott and fd say 30."""
-    m = rows.where("value is not null").groupBy(*by).agg(
-        F.count("*").alias("n"), F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("range"), F.percentile("value", [0.25, 0.75]).alias("q")
-    )
+    live = rows.where("value is not null")
+    m = live.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("range"))
+    m = join_groups(m, exact_quantiles(live, by, "value", [0.25, 0.75]).drop("n"), by)
     root = F.cbrt("n")
     clamp = lambda x: F.greatest(F.lit(10), F.least(F.lit(100), x)).cast("int")
     width = lambda h: F.when(h > 0, F.ceil(F.col("range") / h)).otherwise(30)

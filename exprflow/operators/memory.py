@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import compact, is_missing
+from .quantiles import exact_quantiles
 
 
 def recall(log: DataFrame, key: list[str], canonical: str, confidence: str, at: str, top: int = 5) -> DataFrame:
@@ -103,7 +104,7 @@ def diverse_examples(rows: DataFrame, group: list[str], value: str, order: list[
 
 def flag_high(rows: DataFrame, group: list[str], key: str, score: str, quantile: float = 0.7, floor: float = 0.3, top: int = 25) -> DataFrame:
     """Rows of each group above its quantile of scores and ``floor``, the ``top`` highest of them: group, key, score, rank."""
-    cut = rows.groupBy(*group).agg(F.greatest(F.percentile(score, quantile), F.lit(floor)).alias("cut"))
+    cut = exact_quantiles(rows, group, score, [quantile]).select(*group, F.greatest(F.col("q")[0], F.lit(floor)).alias("cut"))
     high = rows.join(cut, group).where(F.col(score) > F.col("cut")).select(*group, key, score)
     return high.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), key))).where(F.col("rank") <= top)
 

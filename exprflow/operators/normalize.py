@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, join_groups
+
 
 def qc_metrics(counts: DataFrame, mito: Column) -> DataFrame:
     """Per sample: library_size, n_genes_detected, pct_mito (0 for an empty library); one shuffle, partial sums first."""
@@ -127,7 +129,8 @@ def combine_matrices(parts: list[DataFrame]) -> DataFrame:
 
 def outliers(expr: DataFrame, z: float = 3.0, whisker: float = 1.5) -> DataFrame:
     """Per gene: values beyond ``z`` population deviations, and values outside the quartiles by ``whisker`` ranges."""
-    s = expr.groupBy("gene").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.percentile("value", [0.25, 0.75]).alias("q"))
+    s = expr.groupBy("gene").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    s = join_groups(s, exact_quantiles(expr, ["gene"], "value", [0.25, 0.75]), ["gene"])
     s = s.select("gene", "m", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     far = (F.col("sd") > 0) & (F.abs(F.col("value") - F.col("m")) > z * F.col("sd"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def gene_stats(expr: DataFrame, by: list[str]) -> DataFrame:
     """n, mean, median, sd, min, max and coefficient of variation of each group."""
@@ -17,8 +19,7 @@ def gene_stats(expr: DataFrame, by: list[str]) -> DataFrame:
 
 def quartiles(rows: DataFrame, by: list[str]) -> DataFrame:
     """n, q25, median, q75 and interquartile range of each group."""
-    q = F.percentile("value", [0.25, 0.5, 0.75])
-    return rows.groupBy(*by).agg(F.count("value").alias("n"), q.alias("q")).select(
+    return exact_quantiles(rows, by, "value", [0.25, 0.5, 0.75]).select(
         *by, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")
     )
 
