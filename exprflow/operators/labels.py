@@ -9,6 +9,13 @@ NOT_SPECIFIED = "Not Specified"
 # Spellings of a missing label.
 MISSING = ["not specified", "n/a", "na", "none", "unknown", "null", "", "-"]
 
+# Units of a dose or a time; of units that begin alike the longer ones come first.
+DOSE_UNITS = [
+    "mg/kg", "µg/kg", "μg/kg", "ug/kg", "ng/kg", "ng/ml", "mg/ml", "µg/ml", "μg/ml", "ug/ml", "iu/ml", "u/ml", "mmol", "nmol", "µmol", "umol", "mol", "mm", "nm", "µm", "μm", "um",
+    "pm", "fm", "mg", "µg", "μg", "ug", "ng", "pg", "kg", "g", "ml", "µl", "μl", "ul", "nl", "l", "cgy", "gy", "iu", "u", "hours", "hour", "hrs", "hr", "mins", "min", "months", "month",
+    "mo", "m", "secs", "sec", "days", "day", "weeks", "week", "wks", "wk", "years", "year", "yrs", "yr", "h", "s", "d", "y",
+]
+
 
 def is_missing(label: Column, vocabulary: list[str] = MISSING) -> Column:
     """Whether a label says nothing; a null does."""
@@ -55,14 +62,19 @@ def initials(label: Column) -> Column:
 
 
 def strip_dose(label: Column) -> Column:
-    """Without doses and durations."""
-    unit = r"(?:mg|ug|ng|g|ml|ul|nm|um|mm|m|kg|iu|%|h|hr|hrs|hours?|min|mins|minutes?|d|days?|weeks?|wks?)"
-    return F.trim(F.regexp_replace(F.regexp_replace(label, rf"(?i)\b\d+(?:\.\d+)?\s*{unit}(?:/{unit})?\b", ""), r"\s+", " "))
+    """A label without doses, concentrations, durations (``for 3 days``), percentages and factors (``5x``, ``10-fold``), and without the brackets
+    and separators that this empties; null if nothing is left or nothing goes."""
+    unit, amount = f"(?:{'|'.join(DOSE_UNITS)})(?![A-Za-z])", r"\d+(?:\.\d+)?\s*"
+    dose = rf"(?i)\b(?:for|at|after|over)\s+\d+\s*{unit}|\b{amount}{unit}|\b{amount}%|\b\d+[\s-]*(?:fold|x)\b"
+    bare = F.regexp_replace(F.regexp_replace(label, dose, " "), r"\(\s*\)", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[,;-]\s*[,;-]+", " "), r"\s+", " ")
+    bare = F.regexp_replace(bare, r"^[ ,;-]+|[ ,;-]+$", "")
+    return F.when((bare != "") & (F.lower(bare) != F.lower(label)), bare)
 
 
 def split_composite(label: Column, plus: bool = False) -> Column:
     """Parts of a label joined by ``;``, for treatments also by `` + ``."""
-    return F.filter(F.transform(F.split(label, r"\s\+\s|;" if plus else ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(label, r"\s\+\s|;" if plus else ";"), stripped), lambda x: x != "")
 
 
 def memo_key(*fields: Column) -> Column:

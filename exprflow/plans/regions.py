@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import labels as lb
 from ..operators import regions as rg
+from ..operators import search as se
 from ..registry import query
 from ..session import read_table
 from ..sources import platform as pf
@@ -126,3 +128,44 @@ def samples_first_series(spark, d):
     o = read_table(spark, d, "orders")
     listed = F.concat(F.lit(" GSE"), "o_custkey", F.lit(" , GSE"), "o_orderkey")
     return o.select(F.col("o_orderkey").alias("gsm"), rg.first_series(listed).alias("series"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN NULL ELSE p_name END AS bare FROM part""")
+def dose_free_names(spark, d):
+    """Doses in brackets, factors and durations go; a name without any gives null."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    dosed = F.when(F.col("p_size") % 3 == 0, F.concat(name, F.lit(" ("), size, F.lit(" nM), 10-fold"))).when(F.col("p_size") % 3 == 1, name)
+    return read_table(spark, d, "part").select("p_partkey", lb.strip_dose(dosed.otherwise(F.concat(name, F.lit(" "), size, F.lit(".5 mg/kg for 3 days")))).alias("bare"))
+
+
+def spelled(spark, d):
+    """Names of parts by type in four spellings, by size."""
+    name, kind = F.col("p_name"), F.col("p_size") % 4
+    label = F.when(kind == 0, F.upper(name)).when(kind == 1, F.replace(name, F.lit(" "), F.lit("-"))).when(kind == 2, F.concat(name, F.lit("."))).otherwise(name)
+    return read_table(spark, d, "part").select("p_type", label.alias("label"))
+
+
+@query("""WITH v AS (SELECT p_type, CASE p_size % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN p_name || '.' ELSE p_name END AS label FROM part),
+  n AS (SELECT p_type, label, count(*) AS n FROM v GROUP BY ALL)
+  SELECT p_type, label, n, first_value(label) OVER (PARTITION BY p_type, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') ORDER BY n DESC, label) AS canonical FROM n""")
+def collapsed_variants(spark, d):
+    """As collapsed_labels, with spellings that have to meet."""
+    return lb.collapse(spelled(spark, d), ["p_type"], "label")
+
+
+@query("""WITH v AS (SELECT p_type, CASE WHEN p_size % 4 = 0 THEN split_part(p_name, ' ', 2) ELSE p_name END AS label FROM part), n AS (SELECT p_type, label, count(*) AS n FROM v GROUP BY ALL)
+  SELECT s.p_type, s.label, first(b.label ORDER BY b.n DESC, b.label) AS container FROM n s JOIN n b ON s.p_type = b.p_type AND b.label LIKE '% ' || s.label GROUP BY ALL""")
+def contained_labels(spark, d):
+    label = F.when(F.col("p_size") % 4 == 0, F.split("p_name", " ")[1]).otherwise(F.col("p_name"))
+    return se.containment(read_table(spark, d, "part").select("p_type", label.alias("label")), ["p_type"], "label")
+
+
+@query("""SELECT p_partkey, [p_name, p_brand, p_type] AS parts FROM part""")
+def composite_treatments(spark, d):
+    text = F.concat("p_name", F.lit(" + "), "p_brand", F.lit(" ; ; "), "p_type")
+    return read_table(spark, d, "part").select("p_partkey", lb.split_composite(text, plus=True).alias("parts"))
+
+
+@query("""SELECT p_partkey FROM part WHERE p_name ILIKE '%ring%' OR p_type ILIKE '%ring%' OR p_name ILIKE '%economy%' OR p_type ILIKE '%economy%'""")
+def rows_with_words(spark, d):
+    return read_table(spark, d, "part").where(se.any_contains(["p_name", "p_type"], ["Ring", "economy"])).select("p_partkey")

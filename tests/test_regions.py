@@ -7,6 +7,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from exprflow.operators import labels
 from exprflow.operators import regions as rg
 from exprflow.sources import files, platform, sinks
 
@@ -113,3 +114,20 @@ def test_reports_and_checkpoint(spark, tmp_path):
     for k in (1, 2):
         sinks.append_checkpoint(spark.createDataFrame([("GSE1", f"s{k}")], "gse string, gsm string"), str(tmp_path / "c"), "gse")
     assert got(files.read_checkpoint(spark, str(tmp_path / "c"), "gse string, gsm string").select("gse", "gsm")) == [("GSE1", "s1"), ("GSE1", "s2")]
+
+
+def test_strip_dose(spark):
+    cases = {
+        "paclitaxel 10 nM 24 h": "paclitaxel", "cisplatin 5 µg/mL": "cisplatin", "metformin 100mg/kg": "metformin", "IL-12 (10 ng) + butyrate (0.5 mM)": "IL-12 + butyrate",
+        "cisplatin": None, "LPS for 3 days": "LPS", "10-fold dilution": "dilution", "5x serum, 10%": "serum", "24 h": None, "5 genes": None, "": None, None: None,
+    }
+    r = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {x[0]: x[1] for x in r.select("t", labels.strip_dose(F.col("t"))).collect()} == cases
+
+
+def test_split_and_budget(spark):
+    r = spark.createDataFrame([("a + b;c; ",), (None,)], "t string")
+    assert [x[0] for x in r.select(labels.split_composite(F.col("t"), True)).collect()] == [["a", "b", "c"], None]
+    assert [x[0] for x in r.select(labels.split_composite(F.col("t"))).collect()] == [["a + b", "c"], None]
+    t = spark.createDataFrame([("One. Two two! Three?",)], "t string")
+    assert t.select(labels.sentence_budget(F.col("t"), 14)).first()[0] == "One. Two two!"
