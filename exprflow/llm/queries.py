@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, ship
-from . import html, langid, licenses, lmscore, mixing, neardup, packing, quality, tokenfile, topk
+from . import conversations, hardneg, html, langid, licenses, lmscore, mixing, neardup, packing, quality, secrets, tokenfile, topk
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS[:5], "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine_hard_negatives(read_table(spark, sf_dir, "embeddings"), every=50, k_positives=5, k_negatives=3, low=50, high=95, scale=256)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read_table(spark, sf_dir, "conversations"))
+    return conversations.conversation_digests(conversations.repair_conversations(damaged))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -68,7 +81,7 @@ def _shipped(query):
 def queries() -> dict:
     own = (
         op1_mix_sources, op2_language_id, op3_topk_search, op4_near_dedup, op5_lm_score, op5_lm_score_trigrams, op6_pack, op7_html_text,
-        op8_token_files, op9_license_scan, op10_quality_rules,
+        op8_token_files, op9_license_scan, op10_quality_rules, op11_hard_negatives, op12_conversation_repair, op13_secret_scan,
     )
     return {q.__name__: _shipped(q) for q in own}
 
@@ -125,4 +138,7 @@ SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_topk_search": OP3_SQL, "op4_near_dedup": OP4_SQL, "op5_lm_score": lmscore.ORACLE_SQL}
+    return {
+        "op1_mix_sources": OP1_SQL, "op3_topk_search": OP3_SQL, "op4_near_dedup": OP4_SQL, "op5_lm_score": lmscore.ORACLE_SQL,
+        "op11_hard_negatives": hardneg.ORACLE_SQL, "op12_conversation_repair": conversations.ORACLE_SQL,
+    }
