@@ -7,15 +7,18 @@ the number of samples, gives the density and the likelihoods.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dip
+
 BINS, GRID = 2048, 512
 #: Least numbers and limits of the classes, in the order of the rules.
-LEAST_N, CONSTANT_SD, PROMINENCE, VALLEY, PAD = 20, 1e-6, 0.15, 0.75, 0.10
+LEAST_N, CONSTANT_SD, DIP_P, PROMINENCE, VALLEY, PAD = 20, 1e-6, 0.05, 0.15, 0.75, 0.10
 MODAL = ("Bimodal", "Multimodal")
 
 
@@ -73,7 +76,27 @@ def _likeliest(x: np.ndarray, c: np.ndarray, s: pd.Series) -> str:
     return max(scores, key=scores.get)
 
 
-def _classify(pdf: pd.DataFrame) -> str:
+def uniform_dips(spark: SparkSession, sizes: tuple[int, ...] = dip.NULL_SIZES, draws: int = dip.NULL_DRAWS) -> dict[int, np.ndarray]:
+    """Sorted sqrt(n) times the dips of seeded uniform samples by size: the null of dip_p_value, the same in each session.
+
+    Drawn by one Spark job of ``len(sizes) * draws`` rows, once for each driver; no data take part.
+    """
+    if (sizes, draws) not in _NULLS:
+        rows = spark.range(0, draws, numPartitions=max(1, min(draws, spark.sparkContext.defaultParallelism)))
+
+        def run(batches):
+            for b in batches:
+                yield pd.DataFrame([(n, dip.null_dips(n, int(i))) for i in b["id"] for n in sizes], columns=["n", "dip"])
+
+        drawn = rows.mapInPandas(run, "n int, dip double").toPandas()
+        _NULLS[sizes, draws] = {n: np.sort(drawn.loc[drawn["n"] == n, "dip"].to_numpy()) for n in sizes}
+    return _NULLS[sizes, draws]
+
+
+_NULLS: dict[tuple, dict[int, np.ndarray]] = {}
+
+
+def _classify(pdf: pd.DataFrame, nulls: dict[int, np.ndarray] | None) -> str:
     s = pdf.iloc[0]
     if s["n"] < LEAST_N:
         return "Not Enough Data"
@@ -81,6 +104,8 @@ def _classify(pdf: pd.DataFrame) -> str:
         return "Effectively Constant"
     x, c = pdf["x"].to_numpy(float), pdf["c"].to_numpy(float)
     n, span = c.sum(), s["high"] - s["low"]
+    if nulls and dip.dip_p_value(dip.dip(x, c, n), n, nulls) < DIP_P:
+        return "Multimodal" if dip.n_components(x, c) >= 3 else "Bimodal"
     width = n ** (-1 / 5) * s["sd"] * math.sqrt(n / (n - 1))  # Scott's rule
     grid = np.linspace(s["low"] - PAD * span, s["high"] + PAD * span, GRID)
     density = (np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2) * c).sum(1)
@@ -92,13 +117,17 @@ def _classify(pdf: pd.DataFrame) -> str:
     return _likeliest(x, c, s)
 
 
-def distribution_classes(expr: DataFrame) -> DataFrame:
-    """(gene, n, distribution) of the finite values of each gene.
+def distribution_classes(expr: DataFrame, genes: Iterable[str] | None = None, dip_test: bool = True) -> DataFrame:
+    """(gene, n, distribution) of the finite values of each gene, or of the named ``genes`` in any case.
 
-    Fewer than 20 values: Not Enough Data; a deviation below 1e-6: Effectively Constant; two or more modes of the density: Bimodal with a deep
-    valley between two, Multimodal from three; else the likeliest of Normal, Lognormal, Gamma, Cauchy, Uniform. Genes without a value
-    have no row.
+    Fewer than 20 values: Not Enough Data; a deviation below 1e-6: Effectively Constant; where the dip test rejects one mode (p below 0.05), Bimodal or,
+    if three or four normals fit better than two by BIC, Multimodal; two or more modes of the density: Bimodal with a deep valley between two,
+    Multimodal from three; else the likeliest of Normal, Lognormal, Gamma, Cauchy, Uniform. Genes without a value have no row. Without
+    ``dip_test`` the density decides alone.
     """
+    if genes is not None:  # as many as a caller names
+        expr = expr.where(F.upper("gene").isin([str(g).upper() for g in genes]))
+    nulls = uniform_dips(expr.sparkSession) if dip_test else None
     rows = expr.where(F.col("value").isNotNull() & (F.abs("value") < float("inf"))).select("gene", F.col("value").cast("double").alias("value"))
     log = F.when(F.col("value") > 0, F.log("value"))
     stats = rows.groupBy("gene").agg(
@@ -109,7 +138,7 @@ def distribution_classes(expr: DataFrame) -> DataFrame:
     bins = rows.join(stats.select("gene", "low", "high"), "gene").groupBy("gene", bin_.alias("bin")).agg(F.count("*").alias("c"), F.avg("value").alias("x"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "n": [pdf["n"].iloc[0]], "distribution": [_classify(pdf)]})
+        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "n": [pdf["n"].iloc[0]], "distribution": [_classify(pdf, nulls)]})
 
     return bins.join(stats, "gene").groupBy("gene").applyInPandas(one, "gene string, n long, distribution string")
 
