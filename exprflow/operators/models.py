@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_sf2, student_sf2
+from .resample import bootstrap
 from .statistics import benjamini_hochberg, group_moments
 
 
@@ -70,19 +71,9 @@ def moderated_t(rows: DataFrame, trim: float = 0.05, least: int = 30) -> DataFra
 def bootstrap_mean(rows: DataFrame, by: list[str], key: str, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of each group's mean: by, n, mean, lower, upper.
 
-    In each replicate a row counts as often as a Poisson(1) draw from a hash of its key says, so replicates need no
-    second pass, are summed before the shuffle, and are alike in every run. Null values take no part.
+    See ``resample.bootstrap``, which takes any statistic of sums and the median.
     """
-    live = rows.where("value is not null")
-    # The distribution function of Poisson(1) at 0 to 6.
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    turns = live.select(*by, key, "value", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("turn"))
-    u = F.pmod(F.xxhash64(F.col(key), "turn", F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
-    times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    means = turns.withColumn("times", times).groupBy(*by, "turn").agg(F.try_divide(F.sum(F.col("times") * F.col("value")), F.sum("times")).alias("m"))
-    ends = means.groupBy(*by).agg(F.percentile("m", [(1 - level) / 2, (1 + level) / 2]).alias("q"))
-    centre = live.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return centre.join(ends, by).select(*by, "n", "mean", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return bootstrap(rows, by, key, "mean", replicates=replicates, level=level, seed=seed).withColumnRenamed("estimate", "mean")
 
 
 def count_wald(counts: DataFrame, factors: DataFrame, min_count: float = 10) -> DataFrame:

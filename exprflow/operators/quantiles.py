@@ -11,8 +11,8 @@ ACCURACY = 20_000
 
 
 def same_keys(a: str, b: str, by: list[str]) -> Column:
-    """Equality of the keys ``by`` of two aliased tables; null equals null."""
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")) for c in by])
+    """Equality of the keys ``by`` of two aliased tables; null equals null, and without keys all rows are one group."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")) for c in by] or [F.lit(True)])
 
 
 def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
