@@ -71,38 +71,113 @@ def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return out
 
 
+def _kolmogorov(x: np.ndarray) -> np.ndarray:
+    v, k = np.maximum(x, 1e-3)[:, None], np.arange(1, 101)
+    p = np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * (k * v) ** 2)).sum(1), 0, 1)
+    return np.where(x < 0.2, 1.0, p)
+
+
 @F.pandas_udf(DoubleType())
 def kolmogorov_sf(x: pd.Series) -> pd.Series:
     """Upper tail of the Kolmogorov distribution: asymptotic p-value of sqrt(n1 n2 / (n1 + n2)) * D."""
-    v = np.maximum(x.to_numpy(float), 1e-3)[:, None]
-    k = np.arange(1, 101)
-    p = np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * (k * v) ** 2)).sum(1), 0, 1)
-    return pd.Series(np.where(x.to_numpy(float) < 0.2, 1.0, p), index=x.index)
+    return pd.Series(_kolmogorov(x.to_numpy(float)), index=x.index)
+
+
+def _log_choose(n: float, k: float) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def _tail(first: int, step: int, end: int, b: int, c: int, d: int) -> float:
+    """Sum of the hypergeometric terms from ``first`` on towards ``end``, in units of the first, until they vanish; blocks of ratios."""
+    total, last, i = 1.0, 1.0, first
+    while i != end:
+        n = min(4096, abs(end - i))
+        j = i + step * np.arange(n, dtype=float)
+        up = (b - j) * (c - j) / ((j + 1) * (d - b - c + j + 1)) if step > 0 else j * (d - b - c + j) / ((b - j + 1) * (c - j + 1))
+        terms = last * np.cumprod(up)
+        total += float(terms.sum())
+        last, i = float(terms[-1]), i + step * n
+        if last < 1e-18 * total and (up[-1] < 1):
+            break
+    return total
+
+
+def _log_term(i: int, b: int, c: int, d: int) -> float:
+    return _log_choose(b, i) + _log_choose(d - b, c - i) - _log_choose(d, c)
+
+
+def hypergeom_tail(a: int, b: int, c: int, d: int) -> float:
+    """P(at least ``a`` of ``c`` draws marked), ``b`` of ``d`` marked: summed outward from the likeliest term of the tail."""
+    low, high = max(0, b + c - d), min(b, c)
+    a = max(a, low)
+    if a > high:
+        return 0.0
+    if a == low:
+        return 1.0
+    mode = min(high, max(a, (b + 1) * (c + 1) // (d + 2)))
+    inner = _tail(mode, -1, a, b, c, d) - 1.0 if mode > a else 0.0
+    return min(1.0, math.exp(_log_term(mode, b, c, d)) * (_tail(mode, 1, high, b, c, d) + inner))
 
 
 @F.pandas_udf(DoubleType())
 def hypergeom_sf(k: pd.Series, k_all: pd.Series, n: pd.Series, n_all: pd.Series) -> pd.Series:
     """P(at least k of n draws marked) with k_all of n_all marked: Fisher's one-sided p, and that of over-representation."""
-    lg = math.lgamma
-
-    def one(a: int, b: int, c: int, d: int) -> float:
-        ln = lambda i: lg(b + 1) - lg(i + 1) - lg(b - i + 1) + lg(d - b + 1) - lg(c - i + 1) - lg(d - b - c + i + 1) - lg(d + 1) + lg(c + 1) + lg(d - c + 1)
-        return min(1.0, sum(math.exp(ln(i)) for i in range(max(a, 0, b + c - d), min(b, c) + 1)))
-
-    return pd.Series([one(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, k_all, n, n_all, strict=True)], dtype=float)
+    return pd.Series([hypergeom_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, k_all, n, n_all, strict=True)], dtype=float)
+
+
+def fisher_p(a: int, b: int, c: int, d: int) -> float:
+    """Fisher's exact two-sided p: all tables no likelier than this one, on its side and from where the other side is no likelier."""
+    a, b, c, d = (max(0, x) for x in (a, b, c, d))
+    r, s, n = a + b, a + c, a + b + c + d
+    low, high = max(0, r + s - n), min(r, s)
+    here = _log_term(a, r, s, n)
+    mode = min(high, max(low, (r + 1) * (s + 1) // (n + 2)))
+    if a == mode or low == high:
+        return 1.0
+    step, end, far = (1, high, low) if a > mode else (-1, low, high)
+    total = math.exp(here) * _tail(a, step, end, r, s, n)
+    # on the other side terms fall away from the mode: the first that is no likelier, by bisection
+    x, y = mode, far
+    if _log_term(far, r, s, n) <= here + 1e-7:
+        while x != y:
+            m = (x + y) // 2 if far > mode else -((-x - y) // 2)
+            x, y = (x, m) if _log_term(m, r, s, n) <= here + 1e-7 else (m + (1 if far > mode else -1), y)
+        total += math.exp(_log_term(x, r, s, n)) * _tail(x, -step, far, r, s, n)
+    return min(1.0, total)
 
 
 @F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact two-sided p of a 2x2 table: all tables no likelier than this one. Negative cells count as 0."""
-    lg = math.lgamma
+    return pd.Series([fisher_p(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
+
 
-    def one(a: int, b: int, c: int, d: int) -> float:
-        a, b, c, d = (max(0, x) for x in (a, b, c, d))
-        r, s, n = a + b, a + c, a + b + c + d
-        const = lg(r + 1) + lg(n - r + 1) + lg(s + 1) + lg(n - s + 1) - lg(n + 1)
-        ln = lambda i: const - lg(i + 1) - lg(r - i + 1) - lg(s - i + 1) - lg(n - r - s + i + 1)
-        here = ln(a) + 1e-7
-        return min(1.0, sum(math.exp(x) for x in map(ln, range(max(0, r + s - n), min(r, s) + 1)) if x <= here))
+#: Most cells of the table of paths for which the Kolmogorov-Smirnov p-value is exact.
+EXACT_CELLS = 250_000
 
-    return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
+
+def ks_exact(ks: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Exact p-values of two-sample distances: shares of the paths from (0, 0) to (n1, n0) that stray that far from the diagonal, for all distances at once."""
+    far = (0.5 + np.floor(np.asarray(ks, float) * n1 * n0 - 1e-7)) / (n1 * n0)
+    j = np.arange(n0 + 1) / n0
+    u = (j[:, None] <= far).astype(float)
+    for i in range(1, n1 + 1):
+        w, near = i / (i + n0), np.abs(i / n1 - j)[:, None] <= far
+        u[0] = np.where(near[0], u[0] * w, 0.0)
+        for k in range(1, n0 + 1):
+            u[k] = np.where(near[k], w * u[k] + u[k - 1], 0.0)
+    return np.clip(1 - u[-1], 0, 1)
+
+
+@F.pandas_udf(DoubleType())
+def ks_two_sample_sf(ks: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.Series:
+    """p-value of a two-sample distance: exact while n1 times n0 is at most EXACT_CELLS, asymptotic beyond; rows of equal sizes share their table."""
+    out = pd.Series(np.nan, index=ks.index)
+    for (a, b), own in ks.groupby([n1, n0]):
+        a, b = int(a), int(b)
+        if a * b <= EXACT_CELLS:
+            distinct, at = np.unique(own.to_numpy(), return_inverse=True)
+            out[own.index] = ks_exact(distinct, a, b)[at]
+        else:
+            out[own.index] = _kolmogorov(np.sqrt(a * b / (a + b)) * own.to_numpy())
+    return out

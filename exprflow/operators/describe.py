@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import hypergeom_sf, student_sf2
+from ..functions.tails import hypergeom_sf, kolmogorov_sf, ks_two_sample_sf, student_sf2
 from .quantiles import exact_quantiles, join_groups
 from .statistics import benjamini_hochberg
 
@@ -143,3 +143,39 @@ def modality_distances(harmonized: DataFrame, by: str = "platform") -> DataFrame
     up = Window.partitionBy("gene", "a", "b").orderBy("value")
     gap = F.abs(F.sum("c1").over(up) / F.col("n1") - F.sum("c0").over(up) / F.col("n0"))
     return steps.join(n, ["gene", "a", "b"]).select("gene", "a", "b", "n1", "n0", gap.alias("gap")).groupBy("gene", "a", "b", "n1", "n0").agg(F.max("gap").alias("ks"))
+
+
+def modality_verdicts(harmonized: DataFrame, by: str = "platform", exact: bool = True) -> DataFrame:
+    """``modality_distances`` with p_value and verdict, "same shape" from 0.05 on, else "differs". Pairs with a source of one value have no verdict and no row.
+
+    ``exact``: the p-value is exact for small samples, as ``tails.ks_two_sample_sf`` says; else asymptotic.
+    """
+    d = modality_distances(harmonized, by).where("n1 > 1 and n0 > 1")
+    p = ks_two_sample_sf("ks", "n1", "n0") if exact else kolmogorov_sf(F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0"))) * F.col("ks"))
+    return d.withColumn("p_value", p).withColumn("verdict", F.when(F.col("p_value") >= 0.05, "same shape").otherwise("differs"))
+
+
+def modality_concordance(rows: DataFrame, classes: DataFrame, verdicts: DataFrame, by: str = "platform") -> DataFrame:
+    """gene, n_sources, n_pairs, n_same, concordant, classes, summary of each gene: whether all of its sources share a distribution class.
+
+    ``rows`` are raw values, ``classes`` (gene, ``by``, distribution) and ``verdicts`` those of ``modality_verdicts``. Kinds of data are read from
+    the names of the sources. Genes without a value have no row.
+    """
+    named = classes.groupBy("gene").agg(F.array_sort(F.collect_set("distribution")).alias("classes"))  # nine classes at most
+    kinds = rows.where("value is not null and not isnan(value)").select("gene", by).distinct()
+    found = kinds.groupBy("gene").agg(F.count("*").alias("n_sources"), F.array_sort(F.collect_set(modality(F.col(by)))).alias("kinds"))
+    pairs = verdicts.groupBy("gene").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("verdict") == "same shape").alias("n_same"))
+    j = found.join(named, "gene").join(pairs, "gene", "left").fillna(0, ["n_pairs", "n_same"]).withColumn("concordant", F.size("classes") == 1)
+    shape = F.when(F.col("n_pairs") > 0, F.format_string(" %d/%d source pair(s) share the same shape.", "n_same", "n_pairs")).otherwise("")
+    kind = F.when(F.col("concordant"), "is consistent").otherwise("varies across modalities")
+    text = F.concat(F.col("gene"), F.lit(" compared across "), F.col("n_sources").cast("string"), F.lit(" source(s) ["), F.array_join("kinds", ", "), F.lit("]."), shape, F.lit(" Distribution class "), kind, F.lit(" ("), F.array_join("classes", ", "), F.lit(")."))
+    return j.select("gene", "n_sources", "n_pairs", "n_same", "concordant", "classes", text.alias("summary"))
+
+
+def platform_comparison(rows: DataFrame, gene: str, by: str = "platform") -> tuple[DataFrame, DataFrame]:
+    """One gene on every platform, for a report: its statistics, and the distance of raw values between the first two platforms, by name, that have more
+    than one value (no row with fewer)."""
+    own = rows.where((F.upper("gene") == gene.strip().upper()) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    stats = own.groupBy("gene", by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    first = [r[0] for r in stats.where("n > 1").orderBy(by).select(by).limit(2).collect()]
+    return stats, modality_verdicts(own.where(F.col(by).isin(first)), by)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import join_groups
+
 NOT_SPECIFIED = "Not Specified"
 # Spellings of a missing label.
 MISSING = ["not specified", "n/a", "na", "none", "unknown", "null", "", "-"]
@@ -104,6 +106,45 @@ def consensus_verdict(rows: DataFrame, group: list[str], label: str, least: int
     return rows.join(top, group, "left").select(*rows.columns, "top", F.coalesce(verdict, F.lit("keep")).alias("verdict"))
 
 
+def _flat(text: Column) -> Column:
+    """Lower case, with runs of blanks and separators as one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s;,|/\\]+", " "))
+
+
+def curate(rows: DataFrame, group: list[str], label: str, blob: str, fields: str, share: float = 0.8, least: int = 3, twins: int = 3) -> DataFrame:
+    """Rows with final_value, action, reason, support and n_twins, by what a sample's siblings and its own text say.
+
+    ``blob`` is all text of a sample, ``fields`` the array of the keys of its characteristics. Rules, the first that holds: a label that is a ``key: value`` of the
+    text is demoted to Not Specified; a label that the text doesn't hold is demoted where ``share`` of the group says nothing; a missing one is promoted to a value that
+    ``share`` of the group has (equal in any case, spelled as most do, ties to the smaller); else it is kept. Demotion and promotion by siblings need ``twins`` samples of the
+    group with the same keys, the sample included, or only flag the row. Groups below ``least`` samples are kept.
+    """
+    missing, own = is_missing(F.col(label)), stripped(F.coalesce(F.col(label), F.lit("")))
+    live = rows.withColumns({"_missing": missing, "_v": own, "_low": F.lower(own), "_keys": F.array_join(F.coalesce(F.col(fields), F.array().cast("array<string>")), "\x1f")})
+    spelled = live.where("not _missing").groupBy(*group, "_low", "_v").agg(F.count("*").alias("n"))
+    named = spelled.groupBy(*group, "_low").agg(F.sum("n").alias("n"), F.min_by("_v", F.struct((-F.col("n")).alias("a"), F.col("_v"))).alias("v"))
+    top = named.groupBy(*group).agg(F.max("n").alias("_n_top"), F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("_low"))).alias("_top"))
+    sizes = live.groupBy(*group).agg(F.count("*").alias("_n"), F.count_if("_missing").alias("_n_missing"))
+    alike = live.groupBy(*group, "_keys").agg(F.count("*").alias("n_twins"))
+    met = join_groups(join_groups(join_groups(live, sizes, group), top, group), alike, [*group, "_keys"])
+    text = F.coalesce(F.col(blob), F.lit(""))
+    leak = ~F.col("_missing") & F.col("_v").rlike(r"^[A-Za-z][\w.]*\s*:\s*\S+") & (F.contains(_flat(text), _flat(F.col("_v"))) | F.contains(F.lower(text), F.col("_low")))
+    silent, common = F.col("_n_missing") / F.col("_n"), F.coalesce("_n_top", F.lit(0)) / F.col("_n")
+    enough = F.col("_n") >= least
+    demote = enough & ~F.col("_missing") & (silent >= share) & ~F.contains(F.lower(text), F.col("_low"))
+    promote = enough & F.col("_missing") & (common >= share)
+    few = F.col("n_twins") < twins
+    kept = F.when(F.col("_missing"), NOT_SPECIFIED).otherwise(F.col("_v"))
+    return met.select(
+        *rows.columns,
+        F.when(leak, NOT_SPECIFIED).when((demote | promote) & few, kept).when(demote, NOT_SPECIFIED).when(promote, F.col("_top")).otherwise(kept).alias("final_value"),
+        F.when(leak, "demote").when((demote | promote) & few, "flag_only").when(demote, "demote").when(promote, "promote").otherwise("keep").alias("action"),
+        F.when(leak, "key_value_leak").when(demote, "siblings_silent").when(promote, "siblings_agree").when(~enough, "few_siblings").otherwise("no_consensus").alias("reason"),
+        F.when(leak, 1.0).when(demote, silent).when(promote, common).when(~enough, 0.0).otherwise(F.greatest(silent, common)).alias("support"),
+        F.col("n_twins"),
+    )
+
+
 def mint(labels: DataFrame, known: DataFrame, prefix: str) -> DataFrame:
     """Ids ``prefix-00001`` on for labels that aren't known, in their order; numbers go on after the highest known.
 
