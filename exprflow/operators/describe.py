@@ -179,3 +179,29 @@ def platform_comparison(rows: DataFrame, gene: str, by: str = "platform") -> tup
     stats = own.groupBy("gene", by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
     first = [r[0] for r in stats.where("n > 1").orderBy(by).select(by).limit(2).collect()]
     return stats, modality_verdicts(own.where(F.col(by).isin(first)), by)
+
+
+def group_distances(rows: DataFrame, group: str, bins: int = 49) -> DataFrame:
+    """Distances of each gene's values between each pair a < b of groups: gene, a, b, wasserstein, delta_mean, js (the root of the Jensen-Shannon divergence in nats, of ``bins`` bins over the
+    pair's range).
+
+    Values are counted before they are repeated, once for each other group, of which there are few. Nulls and NaN take no part.
+    """
+    v = F.col("value").cast("double")
+    counted = rows.where(v.isNotNull() & ~F.isnan(v) & F.col(group).isNotNull()).groupBy("gene", F.col(group).alias("g"), v.alias("v")).agg(F.count("*").alias("c"))
+    groups = counted.select(F.col("g").alias("other")).distinct()
+    each = counted.join(F.broadcast(groups), F.col("g") != F.col("other"))  # one row a group
+    side = lambda first: F.when(F.col("g") < F.col("other") if first else F.col("g") > F.col("other"), F.col("c")).otherwise(0)
+    steps = each.select("gene", F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"), "v", side(True).alias("c1"), side(False).alias("c0")).groupBy("gene", "a", "b", "v").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    keys = ["gene", "a", "b"]
+    sizes = steps.groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n1 > 0 and n0 > 0")
+    met = steps.join(sizes, keys)
+    up = Window.partitionBy(*keys).orderBy("v")
+    gap = F.abs(F.sum("c1").over(up) / F.col("n1") - F.sum("c0").over(up) / F.col("n0")) * F.coalesce(F.lead("v").over(up) - F.col("v"), F.lit(0.0))
+    mean = F.sum(F.col("c1") * F.col("v") / F.col("n1")) - F.sum(F.col("c0") * F.col("v") / F.col("n0"))
+    moved = met.withColumn("gap", gap).groupBy(*keys).agg(F.sum("gap").alias("wasserstein"), F.abs(mean).alias("delta_mean"))
+    at = F.least(F.floor(F.coalesce(F.try_divide((F.col("v") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1))
+    shares = met.groupBy(*keys, at.alias("bin")).agg(F.sum(F.col("c1") / F.col("n1")).alias("p"), F.sum(F.col("c0") / F.col("n0")).alias("q"))
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log(2 * F.col(x) / (F.col("p") + F.col("q")))).otherwise(0.0)
+    js = shares.groupBy(*keys).agg(F.sqrt(F.greatest(F.lit(0.0), (F.sum(part("p")) + F.sum(part("q"))) / 2)).alias("js"))
+    return moved.join(js, keys)

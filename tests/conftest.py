@@ -14,5 +14,6 @@ def spark():
 
     s = local_session("tests", "4")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     ship(s)
     return s

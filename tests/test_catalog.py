@@ -13,7 +13,7 @@ if not os.path.isdir(SF):
     pytest.skip("no test tables", allow_module_level=True)
 
 from exprflow import registry  # noqa: E402
-from exprflow.plans import catalog, curation, discovery, models, ranking, regions, resolution  # noqa: E402, F401
+from exprflow.plans import catalog, curation, discovery, evaluation, models, ranking, regions, resolution  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")
