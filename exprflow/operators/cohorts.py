@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Fits that run at once.
+AT_ONCE = 4
+
 
 def match_all(**fields: str | bool | float | Iterable[str] | None) -> Column:
     """True where every named column equals its value or, for several values, one of them.
@@ -103,10 +107,10 @@ def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, repl
     new cluster over the points of the replicate; scores are averaged. Overlaps are counts of cluster pairs, a few rows each.
     """
     points = finite_points(vectors, key, vector, "stability-vectors").join(placed.select(key, F.col("cluster").alias("base")), key)
-    points = materialize(points, "stability-points")
+    points = materialize(points, "stability-points").persist()  # read by every replicate; what is lost is read again
     k = points.select("base").distinct().count()
-    scores = None
-    for r in range(replicates):
+
+    def replicate(r: int) -> list[tuple]:
         u = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
         drawn = points.where(u < share)
         if k < 2 or len(drawn.select("features").distinct().head(k)) < k:
@@ -116,8 +120,14 @@ def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, repl
         n = again.groupBy("base", "again").agg(F.count("*").alias("n"))
         both = n.join(n.groupBy("base").agg(F.sum("n").alias("n1")), "base").join(n.groupBy("again").agg(F.sum("n").alias("n2")), "again")
         one = both.groupBy("base").agg(F.max(F.col("n") / (F.col("n1") + F.col("n2") - F.col("n"))).alias("j"))
-        scores = one if scores is None else scores.unionByName(one)
-    return scores.groupBy(F.col("base").alias("cluster")).agg(F.avg("j").alias("bootstrap_jaccard"))
+        return [tuple(x) for x in one.collect()]  # a row a cluster
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # fits of small jobs overlap
+        scores = [x for some in pool.map(replicate, range(replicates)) for x in some]
+    points.unpersist()
+    kind = dict(points.dtypes)["base"]
+    found = points.sparkSession.createDataFrame(scores, f"cluster {kind}, j double")
+    return found.groupBy("cluster").agg(F.avg("j").alias("bootstrap_jaccard"))
 
 
 def cohort_pairs(summary: DataFrame, min_size: int = 10, floor: float = 0.6) -> DataFrame:

@@ -83,15 +83,20 @@ def cluster_lookup(labels: DataFrame, mapping: DataFrame) -> DataFrame:
 def sibling_snap(rows: DataFrame, group: list[str], label: str, share: float = 0.6) -> DataFrame:
     """Each label of a group with the most used label that holds ``share`` of its words: label, n, snapped.
 
-    Labels meet by shared words within their group, as counted distinct labels; a label holds its own words, so one that is
+    Labels meet by their rarest words within their group, as counted distinct labels; a label holds its own words, so one that is
     the most used of its kind stays. Ties go to the smaller label. Missing labels are left out.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.trim(label)), r"\s+"), lambda w: w != ""))
     n = rows.where(~is_missing(F.col(label))).groupBy(*group, label).agg(F.count("*").alias("n")).withColumn("words", words)
-    mine = n.select(*group, label, F.size("words").alias("of"), F.explode("words").alias("w"))
-    other = n.select(*group, F.col(label).alias("sib"), F.col("n").alias("uses"), F.explode("words").alias("w"))
-    overlap = mine.join(other, [*group, "w"]).groupBy(*group, label, "of", "sib", "uses").agg(F.count("*").alias("both"))
-    best = overlap.where(F.col("both") >= share * F.col("of")).groupBy(*group, label).agg(F.min(F.struct((-F.col("uses")).alias("a"), F.col("sib").alias("s"))).alias("b"))
+    each = n.select(*group, label, F.explode("words").alias("w"))
+    rare = each.join(each.groupBy(*group, "w").agg(F.count("*").alias("df")), [*group, "w"]).groupBy(*group, label).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("by_rarity"))
+    # a label that holds ``share`` of the words misses fewer than this many: it holds one of so many rarest
+    of = F.size("words")
+    few = of - F.ceil(F.lit(share) * of - F.lit(1e-9)).cast("int") + 1
+    mine = n.join(rare, [*group, label]).select(*group, label, of.alias("of"), F.col("words").alias("own"), F.explode(F.slice("by_rarity", F.lit(1), few)).alias("r")).withColumn("w", F.col("r.w")).drop("r")
+    other = n.select(*group, F.col(label).alias("sib"), F.col("n").alias("uses"), "words", F.explode("words").alias("w"))
+    held = mine.join(other, [*group, "w"]).where(F.size(F.array_intersect("own", "words")) >= share * F.col("of"))
+    best = held.groupBy(*group, label).agg(F.min(F.struct((-F.col("uses")).alias("a"), F.col("sib").alias("s"))).alias("b"))
     return n.join(best, [*group, label]).select(*group, label, "n", F.col("b.s").alias("snapped"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .neighbours import nearest_vectors
 
 
 def any_contains(columns: list[str], words: list[str]) -> Column:
@@ -49,20 +50,9 @@ def lookup(queries: DataFrame, terms: DataFrame, synonyms: DataFrame) -> DataFra
     return queries.withColumn("key", F.lower("label")).join(best, "key", "left").drop("key")
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, least: float = 0.0, dims: int | None = None) -> DataFrame:
-    """The k base vectors of highest cosine for each query: (query_id, id, similarity), in blocks of the base.
-
-    ``queries`` is a stated set; each of its vectors meets each block once, and a block keeps k rows of each.
-    """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    b = base.select("id", F.col("vector").alias("bv"), norm(F.col("vector")).alias("bn")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(64)))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-    dot = F.aggregate(F.zip_with("qv", "bv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    sims = q.join(b, "block").where("query_id <> id").select("query_id", "id", "block", F.try_divide(dot, F.col("qn") * F.col("bn")).alias("similarity"))
-    order = [F.desc("similarity"), "id"]
-    part = sims.where(F.col("similarity") >= least).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+def nearest(queries: DataFrame, base: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """The k base vectors of highest cosine for each query of a stated set: ``neighbours.nearest_vectors`` without a category."""
+    return nearest_vectors(queries, base, k, least)
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -80,7 +70,10 @@ def containment(rows: DataFrame, group: list[str], label: str) -> DataFrame:
     """Labels of a group whose words are all in a longer label of the group: the most used such label, ties to the smaller."""
     words = F.array_distinct(F.filter(F.split(F.lower(label), r"[^a-z0-9]+"), lambda w: w != ""))
     n = rows.groupBy(*group, label).agg(F.count("*").alias("n")).withColumn("words", words).where(F.size("words") > 0)
-    small = n.select(*group, label, "words", F.col("words")[0].alias("w"))
+    # a label meets the labels that hold its rarest word, so common words bring no pairs together
+    each = n.select(*group, label, "words", F.explode("words").alias("w"))
+    rare = each.join(each.groupBy(*group, "w").agg(F.count("*").alias("df")), [*group, "w"])
+    small = rare.groupBy(*group, label, "words").agg(F.min(F.struct("df", "w")).alias("r")).select(*group, label, "words", F.col("r.w").alias("w"))
     big = n.select(*group, F.col(label).alias("other"), F.col("n").alias("uses"), F.col("words").alias("owords"), F.explode("words").alias("w"))
     pairs = small.join(big, [*group, "w"]).where((F.size("owords") > F.size("words")) & (F.size(F.array_except("words", "owords")) == 0))
     return pairs.groupBy(*group, label).agg(F.min_by("other", F.struct((-F.col("uses")).alias("a"), F.col("other"))).alias("container"))

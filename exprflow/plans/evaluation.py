@@ -8,6 +8,7 @@ from ..operators import describe as de
 from ..operators import evaluation as ev
 from ..operators import neighbours as nb
 from ..operators import recollection as rc
+from ..operators import siblings as sb
 from ..registry import query
 from ..session import read_table
 from ..sources import views
@@ -119,3 +120,43 @@ def nearest_in_category(spark, d):
   SELECT gene, a, b, round(wasserstein, 6) AS wasserstein, round(delta_mean, 6) AS delta_mean, round(js, 6) AS js FROM m JOIN s USING (gene, a, b)""")
 def group_distances(spark, d):
     return rounded(de.group_distances(views.expression(spark, d), "platform"))
+
+
+SIBLINGS = """s AS (SELECT p_brand AS g, p_partkey AS k, CASE p_size % 6 WHEN 0 THEN ' Not Specified ' WHEN 1 THEN p_type || '; ' || p_name WHEN 2 THEN NULL ELSE p_type || ' ' END AS v, p_name AS o, p_size FROM part),
+  t AS (SELECT *, CASE WHEN trim(v) <> '' AND lower(trim(v)) <> 'not specified' THEN trim(v) END AS w FROM s)"""
+
+
+def siblings(spark, d):
+    value = "CASE p_size % 6 WHEN 0 THEN ' Not Specified ' WHEN 1 THEN p_type || '; ' || p_name WHEN 2 THEN NULL ELSE p_type || ' ' END AS v"
+    return read_table(spark, d, "part").selectExpr("p_brand AS g", "p_partkey AS k", value, "p_name AS o", "p_size")
+
+
+@query(f"""WITH {SIBLINGS}, n AS (SELECT g, w, count(*) AS n FROM t WHERE w IS NOT NULL AND p_size % 4 <> 0 GROUP BY 1, 2), m AS (SELECT g, arg_min(w, (-n, w)) AS mode FROM n GROUP BY 1)
+  SELECT g, k, CASE WHEN p_size % 5 = 0 THEN 'sib' ELSE coalesce(mode, '') END AS near, list_filter(['parser', CASE WHEN w IS NOT NULL AND NOT contains(v, ';') AND p_size / 50 < 0.5 AND p_size % 3 / 4 > 0.25 THEN 'fieldname' END,
+    CASE WHEN w IS NULL AND mode IS NOT NULL THEN 'ns' END, CASE WHEN contains(coalesce(v, ''), ';') THEN 'composite' END], lambda x: x IS NOT NULL) AS specialists FROM t LEFT JOIN m USING (g) WHERE p_size % 4 = 0""")
+def specialist_rows(spark, d):
+    rows = siblings(spark, d)
+    flags = rows.where("p_size % 4 = 0").selectExpr("g", "k", "v AS value", "p_size / 50 AS punct_z", "p_size % 3 / 4 AS evidence", "CASE WHEN p_size % 5 = 0 THEN 'sib' WHEN p_size % 7 = 0 THEN '' END AS nearest_sibling")
+    return sb.specialist_gates(flags, sb.sibling_mode(rows, ["g"], "v", F.expr("p_size % 4 = 0")), ["g"]).select("g", "k", "near", "specialists")
+
+
+@query(f"""WITH {SIBLINGS}, n AS (SELECT g, w, count(*) AS n, min((k::VARCHAR, o)) AS f FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w IS NULL, n DESC, w) AS i, row_number() OVER (PARTITION BY g ORDER BY w IS NULL, f) AS j FROM n),
+  a AS (SELECT g, sum(n) AS total, coalesce(sum(n) FILTER (w IS NOT NULL), 0) AS named, string_agg('"' || w || '" (n=' || n || ')', '; ' ORDER BY i) FILTER (i <= 5 AND w IS NOT NULL) AS line,
+    string_agg(printf('  [%4d]  %s', n, w), chr(10) ORDER BY i) FILTER (w IS NOT NULL) AS lab, string_agg('  ' || f[1] || '    v: ' || w || '  |  o: ' || f[2], chr(10) ORDER BY j) FILTER (w IS NOT NULL AND j <= 5) AS ex FROM r GROUP BY 1)
+  SELECT g, coalesce(line, '(none)') AS line, 'Experiment title  : ' || g || chr(10) || printf('Total samples    : %d  |  Labeled v: %d  |  Still NS     : %d', total::BIGINT, named::BIGINT, (total - named)::BIGINT) || chr(10)
+    || CASE WHEN lab IS NULL THEN chr(10) || 'No v labels assigned yet in this experiment.' ELSE chr(10) || 'Known v labels in this experiment:' || chr(10) || lab || chr(10) || chr(10) || 'Example labeled samples:' || chr(10) || ex END AS block FROM a""")
+def sibling_context(spark, d):
+    rows = siblings(spark, d)
+    meta = rows.select("g", F.col("g").alias("title"), F.lit(" ").alias("summary"), F.lit(None).cast("string").alias("design"))
+    return sb.sibling_line(rows, ["g"], "v").join(sb.context_blocks(rows, "g", "k", "v", "o", meta), "g")
+
+
+REGIONS = [("low A", "GPL_A", "g1", -9.0, -0.05), ("high B", "GPL_B", "G2", 0.05, 9.0), ("mid A", "GPL_A", "g1", -0.1, 0.1)]
+
+
+@query(f"""{X}, r(region, platform, gene, low, high) AS (VALUES {", ".join(str(r) for r in REGIONS)}), p AS (SELECT e.sample_id, e.value, r.region, e.platform, e.gene FROM expr e JOIN r ON e.platform = r.platform AND upper(e.gene) = upper(r.gene) AND value BETWEEN low AND high)
+  SELECT p.sample_id::VARCHAR AS sample_id, round(value, 6) AS value, region, platform, gene, source AS series_id, lang AS "Classified_lang" FROM p LEFT JOIN documents ON doc_id = sample_id""")
+def compared_regions(spark, d):
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("series_id"), F.col("lang").alias("Classified_lang"))
+    regions = spark.createDataFrame(REGIONS, "region string, platform string, gene string, low double, high double")
+    return rounded(sb.region_comparison(views.expression(spark, d), regions, docs.select("sample_id", "series_id"), docs.select("sample_id", "Classified_lang")))

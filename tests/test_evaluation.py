@@ -11,6 +11,7 @@ from exprflow.operators import describe as de
 from exprflow.operators import evaluation as ev
 from exprflow.operators import neighbours as nb
 from exprflow.operators import recollection as rc
+from exprflow.operators import siblings as sb
 from exprflow.sources import reports
 
 RNG = np.random.default_rng(3)
@@ -111,3 +112,17 @@ def test_hashes_and_reports(spark, tmp_path):
     terms = spark.createDataFrame([("t2", 0.5), ("t1", 0.01)], "term string, q_value double")
     text = reports.enrichment_report("a vs b", terms, terms.limit(0), top=1, manifest=manifest)
     assert "# Enrichment report: a vs b" in text and "| t1 | 0.01 |" in text and "t2" not in text and "_No results._" in text and f"counts=`{one}`" in text and '"alpha": 0.05' in text
+
+
+def test_siblings_of_odd_groups(spark):
+    rows = [("a", 1, "lung", 0), ("a", 2, "lung ", 0), ("a", 3, "liver", 1), ("a", 4, None, 0), ("b", 5, "not specified", 0), (None, 6, "x", 0), ("c", 7, "y", 1)]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "g string, id int, v string, f int, n int")
+    assert got(sb.sibling_mode(df, ["g"], "v", F.col("f") == 1)) == sorted([("a", "lung", 2), (None, "x", 1)], key=str)
+    assert dict(got(sb.sibling_line(df, ["g"], "v", 1))) == {"a": '"lung" (n=2)', "b": "(none)", None: '"x" (n=1)', "c": '"y" (n=1)'}
+    meta = spark.createDataFrame([("a", "T", None, " D ")], "g string, title string, summary string, design string")
+    blocks = dict(got(sb.context_blocks(df, "g", "id", "v", "n", meta)))
+    assert blocks["a"] == "Experiment title  : T\nOverall design    : D\nTotal samples    : 4  |  Labeled v: 3  |  Still NS     : 1\n\nKnown v labels in this experiment:\n  [   2]  lung\n  [   1]  liver\n\nExample labeled samples:\n  1    v: lung  |  n: 9\n  3    v: liver  |  n: 9"
+    assert blocks["b"].endswith("No v labels assigned yet in this experiment.") and set(blocks) == {"a", "b", "c"}
+    texts = ["'it''s\\n'", '"x', "x'", "  plain ", "''", "'", None, '\\"q\\"', "a\\\\b"]
+    plain = spark.createDataFrame([(t,) for t in texts], "t string").select(sb.unrepr(F.col("t"))).collect()
+    assert [r[0] for r in plain] == ["it''s\n", "x", "x", "plain", "", "", None, '"q\\', "a\\b"]
