@@ -165,12 +165,3 @@ def sentence_budget(text: Column, max_chars: int) -> Column:
     s = F.split(text, r"(?<=[.!?])\s+")
     add = lambda acc, x: F.when(F.length(acc) + F.length(x) + 1 <= max_chars, F.trim(F.concat_ws(" ", acc, x))).otherwise(acc)
     return F.aggregate(s, F.lit(""), add)
-
-
-def technology(title: Column) -> Column:
-    """Class of a measuring platform from its name, the first pattern that matches."""
-    t = F.lower(title)
-    return (
-        F.when(t.rlike("single.?cell|10x"), "single_cell").when(t.rlike("seq|illumina hi|nova"), "rna_seq").when(t.rlike("methyl"), "methylation")
-        .when(t.rlike("mirna|microrna"), "mirna").when(t.rlike("array|chip|affy|agilent"), "microarray").otherwise("other")
-    )

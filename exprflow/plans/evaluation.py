@@ -11,7 +11,7 @@ from ..operators import recollection as rc
 from ..operators import siblings as sb
 from ..registry import query
 from ..session import read_table
-from ..sources import views
+from ..sources import platform, views
 from .catalog import X, rounded
 
 
@@ -160,3 +160,30 @@ def compared_regions(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("series_id"), F.col("lang").alias("Classified_lang"))
     regions = spark.createDataFrame(REGIONS, "region string, platform string, gene string, low double, high double")
     return rounded(sb.region_comparison(views.expression(spark, d), regions, docs.select("sample_id", "series_id"), docs.select("sample_id", "Classified_lang")))
+
+
+TECHNOLOGIES = ["high-throughput sequencing", "in situ oligonucleotide", "SAGE", "mixed set", "", "Oligonucleotide Beads"]
+TITLES = ["Illumina HiSeq 2000 (Homo sapiens)", "10x Genomics Chromium", "Infinium 450K", "ATAC-seq library", "Affymetrix U133", "total  RNA panel", "CUT&RUN kit"]
+
+
+def _class_sql(tech: str, title: str) -> str:
+    both = f"(lower({tech}) || ' ' || lower({title}))"
+    any_ = lambda patterns: f"regexp_matches({both}, '{'|'.join(patterns)}')"
+    seq = f"(contains(lower({tech}), 'sequencing') OR lower({tech}) IN ('sage', 'mpss'))"
+    return f"""CASE WHEN {any_(platform.SINGLE_CELL)} THEN 'single-cell' WHEN {any_(platform.METHYLATION)} THEN 'methylation' WHEN {seq} AND {any_(platform.OTHER_SEQUENCING)} THEN 'sequencing-other'
+      WHEN {seq} AND {any_(platform.BULK_RNA)} THEN 'bulk-rna-seq' WHEN {seq} THEN 'sequencing-other' WHEN regexp_matches(lower({tech}), 'oligonucleotide|spotted|cdna|array|bead') THEN 'microarray'
+      WHEN {any_(platform.BULK_RNA)} THEN 'bulk-rna-seq' WHEN {any_(platform.OTHER_SEQUENCING)} THEN 'sequencing-other' ELSE 'other' END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ({TECHNOLOGIES})[(p_partkey % 6 + 1)::INT] AS tech, ({TITLES})[(p_partkey % 7 + 1)::INT] || ' ' || p_name AS title FROM part) SELECT p_partkey, {_class_sql("tech", "title")} AS technology FROM p""")
+def platform_technologies(spark, d):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % n + 1).cast("int"))
+    return read_table(spark, d, "part").select("p_partkey", platform.technology(pick(TECHNOLOGIES, 6), F.concat(pick(TITLES, 7), F.lit(" "), "p_name")).alias("technology"))
+
+
+@query("""WITH n AS (SELECT n_name AS name FROM nation), a AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'nation_' || c_nationkey WHEN 2 THEN '_' || c_nationkey ELSE NULL END AS asked FROM customer)
+  SELECT asked, arg_min(name, (CASE WHEN name = coalesce(asked, '') THEN 0 WHEN lower(name) = lower(coalesce(asked, '')) THEN 1 WHEN coalesce(asked, '') <> '' AND (contains(lower(name), lower(asked)) OR contains(lower(asked), lower(name))) THEN 2 ELSE 3 END, name)) AS name
+  FROM a, n GROUP BY 1""")
+def matched_platforms(spark, d):
+    asked = read_table(spark, d, "customer").selectExpr("CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN 'nation_' || c_nationkey WHEN 2 THEN '_' || c_nationkey ELSE NULL END AS asked")
+    return platform.match_platform(read_table(spark, d, "nation").selectExpr("n_name AS name"), asked)

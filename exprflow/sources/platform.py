@@ -90,3 +90,43 @@ def read_platform(spark: SparkSession, path: str, platform: str) -> DataFrame:
     key = "GSM" if "GSM" in names else next((c for c in names if c.strip().upper() in MATRIX_SAMPLE_COLUMNS), names[0])
     rows = _long(table, key, [c for c in names if c != key], "gene")
     return rows.select(F.lit(platform.upper()).alias("platform"), F.col("key").alias("sample_id"), "gene", "value")
+
+
+# Patterns of kinds of measurement, looked for in a platform's technology and title.
+SINGLE_CELL = [
+    r"\bsingle[\s\-]?cell\b", r"\bsc[\-_]?rna[\-_]?seq\b", r"\bsn[\-_]?rna[\-_]?seq\b", r"\bsingle[\s\-]?nucle(us|i)\b", r"\b10x\s*genomics\b", r"\bchromium\b", r"\bdrop[\s\-]?seq\b",
+    r"\bsmart[\s\-]?seq2?\b", r"\bcel[\s\-]?seq2?\b", r"\bmars[\s\-]?seq\b", r"\bindrop(s|seq)?\b", r"\bbd\s*rhapsody\b", r"\bfluidigm\s*c1\b", r"\bparse\s*biosciences?\b", r"\bsplit[\s\-]?seq\b",
+]
+METHYLATION = [r"methylation", r"\bbisulfite\b", r"\binfinium\b", r"\bepic\b", r"\b450k?\b", r"\b850k?\b", r"\bmeth[\s\-]?seq\b", r"\brrbs\b", r"\bwgbs\b"]
+BULK_RNA = [
+    r"\brna[\s\-]?seq\b", r"\btranscriptom", r"\bmrna\b", r"\btotal\s+rna\b", r"\billumina\s+(hi|nova|next)seq", r"\billumina\s+genome\s+analyzer", r"\bion\s+torrent\b", r"\bab\s+solid\b",
+    r"\bbgiseq\b", r"\bpacbio\b", r"\boxford\s+nanopore\b",
+]
+OTHER_SEQUENCING = [r"\bchip[\s\-]?seq\b", r"\batac[\s\-]?seq\b", r"\bdnase[\s\-]?seq\b", r"\bcut\s*&?\s*run\b", r"\bcut\s*&?\s*tag\b", r"\bhi[\s\-]?c\b", r"\bmnase\b", r"\bribo[\s\-]?seq\b"]
+
+
+def technology(kind: Column, title: Column) -> Column:
+    """The class of a platform by its technology and its title, which may be null: single-cell and methylation before all; of sequencing, SAGE and MPSS, assays of chromatin
+    before bulk-rna-seq, as they run on the same machines, and sequencing-other for the rest; microarray; then what the title alone tells, or other."""
+    tech, name = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (kind, title))
+    both = F.concat(tech, F.lit(" "), name)
+    any_ = lambda patterns: both.rlike("|".join(patterns))
+    sequenced = F.contains(tech, F.lit("sequencing")) | tech.isin("sage", "mpss")
+    array = tech.rlike("oligonucleotide|spotted|cdna|array|bead")
+    return (
+        F.when(any_(SINGLE_CELL), "single-cell").when(any_(METHYLATION), "methylation").when(sequenced & ~any_(OTHER_SEQUENCING) & any_(BULK_RNA), "bulk-rna-seq").when(sequenced, "sequencing-other")
+        .when(array, "microarray").when(any_(BULK_RNA), "bulk-rna-seq").when(any_(OTHER_SEQUENCING), "sequencing-other").otherwise("other")
+    )
+
+
+def match_platform(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, name): for each asked text the platform (name) that is meant: equal, equal in any case, one that holds or is held by it, or else the first; ties in order of the name.
+
+    Both tables are catalogues of names; the smaller is repeated to the larger. Without platforms there are no rows, a null or empty text means the first.
+    """
+    text = F.trim(F.coalesce("asked", F.lit("")))
+    low, own = F.lower(text), F.lower("name")
+    part = (low != "") & (F.contains(own, low) | F.contains(low, own))
+    tier = F.when(F.col("name") == text, 0).when(own == low, 1).when(part, 2).otherwise(3)
+    met = asked.select("asked").distinct().crossJoin(F.broadcast(names.select("name").where("name is not null").distinct()))  # platforms of a catalogue: some ten thousand at most
+    return met.groupBy("asked").agg(F.min(F.struct(tier.alias("tier"), F.col("name"))).alias("b")).select("asked", "b.name")
