@@ -39,8 +39,21 @@ def dip(x: np.ndarray, weight: np.ndarray | None = None, n: float | None = None)
     weight = np.bincount(at, weight)
     total = weight.sum()
     after = np.cumsum(weight) / total
-    before = after - weight / total
-    low, high, depth = 0, len(x) - 1, 1 / (n or total)
+    return _dip(x, after - weight / total, after, 1 / (n or total))
+
+
+def knot_dip(knots: np.ndarray, n: float) -> float:
+    """The dip of a large sample of ``n`` values from its quantiles at equal steps from 0 to 1, between which its distribution function is taken for straight; knots that
+    coincide are a jump of it."""
+    x, first, times = np.unique(np.asarray(knots, float), return_index=True, return_counts=True)
+    step = 1 / (len(knots) - 1)
+    before = first * step
+    return _dip(x, before, before + (times - 1) * step, 1 / n)
+
+
+def _dip(x: np.ndarray, before: np.ndarray, after: np.ndarray, depth: float) -> float:
+    """``before`` and ``after`` are the distribution function at each of ``x``, below and above its jump; twice the result is ``depth`` at least."""
+    low, high = 0, len(x) - 1
     while low < high:
         own, lo, hi = x[low : high + 1], before[low : high + 1], after[low : high + 1]
         g, u = hull(own, lo), hull(own, hi, -1.0)

@@ -1,7 +1,8 @@
 """Distribution classes of genes, from moments and a fine histogram of each: no gene's values meet in one task.
 
 Each gene's values are counted in ``BINS`` bins of its range, each kept with the mean of what fell into it; a bounded table a gene, whatever
-the number of samples, gives the density and the likelihoods.
+the number of samples, gives the density and the likelihoods. Bins of a range say little of heavy tails, so the dip test and the mixtures see distinct values with their counts, or
+of a gene with more than ``BINS`` values its quantiles at as many equal steps, from a mergeable sketch.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dip
 
-BINS, GRID = 2048, 512
+BINS, GRID, SKETCH = 2048, 512, 20_000
 #: Least numbers and limits of the classes, in the order of the rules.
 LEAST_N, CONSTANT_SD, DIP_P, PROMINENCE, VALLEY, PAD = 20, 1e-6, 0.05, 0.15, 0.75, 0.10
 MODAL = ("Bimodal", "Multimodal")
@@ -97,6 +98,7 @@ _NULLS: dict[tuple, dict[int, np.ndarray]] = {}
 
 
 def _classify(pdf: pd.DataFrame, nulls: dict[int, np.ndarray] | None) -> str:
+    exact, pdf = pdf[pdf["exact"]], pdf[~pdf["exact"]]
     s = pdf.iloc[0]
     if s["n"] < LEAST_N:
         return "Not Enough Data"
@@ -104,8 +106,16 @@ def _classify(pdf: pd.DataFrame, nulls: dict[int, np.ndarray] | None) -> str:
         return "Effectively Constant"
     x, c = pdf["x"].to_numpy(float), pdf["c"].to_numpy(float)
     n, span = c.sum(), s["high"] - s["low"]
-    if nulls and dip.dip_p_value(dip.dip(x, c, n), n, nulls) < DIP_P:
-        return "Multimodal" if dip.n_components(x, c) >= 3 else "Bimodal"
+    if nulls:
+        if n <= BINS:
+            v, w = exact["x"].to_numpy(float), exact["c"].to_numpy(float)
+            depth = dip.dip(v, w, n)
+        else:
+            knots = np.asarray(next(m for m in pdf["marks"] if m is not None), float)
+            v, w = (knots[1:] + knots[:-1]) / 2, np.full(len(knots) - 1, n / (len(knots) - 1))
+            depth = max(1 / (2 * n), dip.knot_dip(knots, n) - (1 / SKETCH if n > SKETCH else 0.0))  # what the sketch may be off
+        if dip.dip_p_value(depth, n, nulls) < DIP_P:
+            return "Multimodal" if dip.n_components(v, w) >= 3 else "Bimodal"
     width = n ** (-1 / 5) * s["sd"] * math.sqrt(n / (n - 1))  # Scott's rule
     grid = np.linspace(s["low"] - PAD * span, s["high"] + PAD * span, GRID)
     density = (np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2) * c).sum(1)
@@ -133,14 +143,21 @@ def distribution_classes(expr: DataFrame, genes: Iterable[str] | None = None, di
     stats = rows.groupBy("gene").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("sd"), F.avg(log).alias("mean_log"), F.stddev_pop(log).alias("sd_log"),
+        (F.percentile_approx("value", [i / BINS for i in range(BINS + 1)], SKETCH) if dip_test else F.lit(None).cast("array<double>")).alias("marks"),
     )
     bin_ = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(0))
-    bins = rows.join(stats.select("gene", "low", "high"), "gene").groupBy("gene", bin_.alias("bin")).agg(F.count("*").alias("c"), F.avg("value").alias("x"))
+    placed = rows.join(stats.select("gene", "n", "low", "high"), "gene")
+    bins = placed.groupBy("gene", bin_.alias("bin")).agg(F.count("*").alias("c"), F.avg("value").alias("x")).select("gene", "c", "x", F.lit(False).alias("exact"), (F.col("bin") == 0).alias("first"))
+    few = placed.where(F.col("n") <= BINS).groupBy("gene", F.col("value").alias("x")).agg(F.count("*").alias("c")).select("gene", "c", "x", F.lit(True).alias("exact"), F.lit(False).alias("first"))
+    if dip_test:
+        bins = bins.unionByName(few)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "n": [pdf["n"].iloc[0]], "distribution": [_classify(pdf, nulls)]})
 
-    return bins.join(stats, "gene").groupBy("gene").applyInPandas(one, "gene string, n long, distribution string")
+    # the first bin, which every gene has, carries the quantiles
+    met = bins.join(stats, "gene").withColumn("marks", F.when(F.col("first"), F.col("marks"))).drop("first")
+    return met.groupBy("gene").applyInPandas(one, "gene string, n long, distribution string")
 
 
 def distribution_summary(classes: DataFrame) -> DataFrame:

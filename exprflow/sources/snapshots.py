@@ -1,13 +1,14 @@
 """Tables in versions: readers see the old or the new one, never half of either.
 
 A table is a folder of data folders and a log of versions. A version is one small JSON file that names the data folder of each part, and is
-created only if no file of its number exists; so a writer that stops early leaves folders that no version names, and of two writers
+put in place whole, and only if no file of its number exists; so a writer that stops early leaves folders that no version names, and of two writers
 that start from one version the second fails. A new version names the old folders of parts that it doesn't replace.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ class SnapshotTable:
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def manifest(self, version: int | None = None) -> tuple[int, dict[str, str]]:
         """(version, data folder by part) of a version, by default the newest; (0, {}) of a table without one."""
@@ -47,15 +48,21 @@ class SnapshotTable:
 
     def commit(self, base: int, manifest: dict[str, str]) -> int:
         """Publish the successor of version ``base``; Conflict if there is one already."""
+        text = json.dumps(manifest, sort_keys=True)
         fs, path = self._at(f"_versions/{base + 1:010d}.json")
-        try:
-            out = fs.create(path, False)  # fails where the file exists
-        except Exception as e:
-            if fs.exists(path):
-                raise Conflict(f"version {base + 1} of {self.path} is published already") from e
-            raise
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        spare_fs, spare = self._at(f"_versions/.{uuid.uuid4().hex}")
+        out = spare_fs.create(spare, False)
+        out.write(bytearray(text.encode()))
         out.close()
+        try:
+            if fs.getScheme() == "file":  # a link fails where its name is taken; Hadoop's local rename would replace it
+                os.link(spare.toUri().getPath(), path.toUri().getPath())
+            elif not fs.rename(spare, path):
+                raise FileExistsError(str(path))
+        except FileExistsError as e:
+            raise Conflict(f"version {base + 1} of {self.path} is published already") from e
+        finally:
+            spare_fs.delete(spare, False)
         return base + 1
 
     def part_of(self, *keys: str) -> Column:

@@ -63,6 +63,21 @@ def test_dip_equals_a_plain_one():
     assert dip.dip(np.array([1.0, 2.0])) == 0.25 and dip.dip(np.ones(9)) == 1 / 18
 
 
+def test_dip_of_knots_is_that_of_the_sample():
+    rng = np.random.default_rng(3)
+    at = np.linspace(0, 1, 2049)
+    for x in (rng.normal(size=200_000), np.concatenate([rng.normal(-1.5, 1, 100_000), rng.normal(1.5, 1, 100_000)]), rng.standard_cauchy(200_000)):
+        assert abs(dip.knot_dip(np.quantile(x, at, method="inverted_cdf"), len(x)) - dip.dip(x)) < 5e-4
+    assert dip.knot_dip(np.linspace(0, 1, 2049), 10**9) < 1e-6
+
+
+def test_heavy_tails_and_large_genes_have_one_mode(spark):
+    rng = np.random.default_rng(9)
+    values = {"cauchy": rng.standard_cauchy(500), "many": rng.standard_cauchy(60_000), "normal": rng.normal(size=60_000), "two": np.concatenate([rng.normal(-2, 1, 30_000), rng.normal(2, 1, 30_000)])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "gene string, value double")
+    assert {r.gene: r.distribution for r in ds.distribution_classes(df).collect()} == {"cauchy": "Cauchy", "many": "Cauchy", "normal": "Normal", "two": "Bimodal"}
+
+
 def test_p_values_of_uniform_samples_are_uniform(spark):
     nulls = ds.uniform_dips(spark)
     assert {len(v) for v in nulls.values()} == {dip.NULL_DRAWS} and nulls is ds.uniform_dips(spark)
@@ -157,7 +172,8 @@ def test_anomaly_screen_of_odd_samples(spark):
 def test_blocks_give_what_one_block_gives(spark, monkeypatch):
     rng = random.Random(3)
     words = ["liver", "lung", "tumor", "normal", "cell", "line", "blood", "T-cell"]
-    df = spark.createDataFrame([("g", i, " ".join(rng.choices(words, k=3)), "") for i in range(60)], "g string, id long, value string, text string")
+    values = [" ".join(rng.choices(words, k=3)) for _ in range(60)]
+    df = spark.createDataFrame([("g", i, v, v) for i, v in enumerate(values)], "g string, id long, value string, text string")
     key = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in rows)
     whole = an.anomaly_signals(df, ["g"], "id", "value", "text")
     flags = key(an.flag_anomalies(whole, ["g"], "id").collect())
