@@ -32,32 +32,32 @@ def draws(keys: np.ndarray, replicates: int) -> np.ndarray:
     return np.searchsorted(POISSON, (x >> np.uint64(11)) * (1.0 / (1 << 53)), "right").astype(np.int64)
 
 
-def _sums(replicates: int, by: list[str]):
+def _sums(replicates: int):
     """Partial sums of a partition: of each group the counts, sums and sums of squares in every replicate."""
 
+    def rows(state: dict[int, np.ndarray]) -> pd.DataFrame:
+        parts = list(state.values())
+        return pd.DataFrame({"_key": list(state), **{c: [p[i] for p in parts] for i, c in enumerate(("_w", "_s1", "_s2"))}})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[tuple, np.ndarray] = {}
+        state: dict[int, np.ndarray] = {}
         for pdf in batches:
-            group = pdf[by].astype(object).where(pdf[by].notna(), None).apply(tuple, axis=1) if by else pd.Series([()] * len(pdf), index=pdf.index)
-            for g, own in pdf.groupby(group, sort=False):
+            for g, own in pdf.groupby("_key", sort=False):
                 for a in range(0, len(own), ROWS):
                     x = own["_x"].to_numpy(float)[a : a + ROWS]
                     part = np.stack((np.ones(len(x)), x, x * x)) @ draws(own["_h"].to_numpy()[a : a + ROWS], replicates)
                     state[g] = state[g] + part if g in state else part
             if len(state) > 1000:
-                yield _rows(state, by)
+                yield rows(state)
                 state = {}
         if state:
-            yield _rows(state, by)
+            yield rows(state)
 
     return run
 
 
-def _rows(state: dict[tuple, np.ndarray], by: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame({"_w": [s[0] for s in state.values()], "_s1": [s[1] for s in state.values()], "_s2": [s[2] for s in state.values()]})
-    for i, c in enumerate(by):
-        out[c] = [g[i] for g in state]
-    return out
+PARTIAL = "_key long, _w array<double>, _s1 array<double>, _s2 array<double>"
+CLOSED = "_key long, n long, estimate double, lower double, upper double"
 
 
 #: Statistics of the sums (count, sum, sum of squares) of values that are measured from their group's mean; arrays over replicates.
@@ -72,7 +72,9 @@ _SHIFTED = {"mean"}
 def _live(rows: DataFrame, by: list[str], key: str, value: str, seed: int) -> DataFrame:
     x = F.col(f"`{value}`").cast("double")
     keys = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(by)]
-    return rows.select(*keys, F.xxhash64(F.col(f"`{key}`"), F.lit(seed)).alias("_h"), x.alias("_x")).where(x.isNotNull() & ~F.isnan(x))
+    # groups travel through tasks as a number
+    live = rows.select(*keys, F.xxhash64(F.col(f"`{key}`"), F.lit(seed)).alias("_h"), x.alias("_x")).where(x.isNotNull() & ~F.isnan(x))
+    return live.withColumn("_key", F.xxhash64(*[f"_g{i}" for i in range(len(by))], F.lit(1)))
 
 
 def _ends(values: np.ndarray, level: float) -> tuple[float | None, float | None]:
@@ -94,15 +96,12 @@ def bootstrap(
         return _bootstrap_median(rows, by, key, value, replicates, level, seed)
     f, own = STATISTICS[statistic] if isinstance(statistic, str) else statistic, [f"_g{i}" for i in range(len(by))]
     live = _live(rows, by, key, value, seed)
-    centre = materialize(live.groupBy(*own).agg(F.count("*").alias("_n"), F.avg("_x").alias("_mean"), F.var_pop("_x").alias("_var")), "bootstrap-centres")
-    moved = join_groups(live, centre, own).withColumn("_x", F.col("_x") - F.col("_mean"))
-    kinds = dict(live.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), "_w array<double>", "_s1 array<double>", "_s2 array<double>"])
-    partial = moved.select(*own, "_h", "_x").mapInPandas(_sums(replicates, own), schema)
-    added = partial.select(*own, F.posexplode(F.arrays_zip("_w", "_s1", "_s2")).alias("_r", "_p"))
-    added = added.groupBy(*own, "_r").agg(*[F.sum(f"_p.{c}").alias(c) for c in ("_w", "_s1", "_s2")])
-    lists = added.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("_r", "_w", "_s1", "_s2"))).alias("_p"))  # a place for each replicate
-    lists = join_groups(centre, lists, own).select(*own, "_n", "_mean", "_var", *[F.col(f"_p.{c}").alias(c) for c in ("_w", "_s1", "_s2")])
+    centre = materialize(live.groupBy(*own, "_key").agg(F.count("*").alias("_n"), F.avg("_x").alias("_mean"), F.var_pop("_x").alias("_var")), "bootstrap-centres")
+    moved = live.join(centre.select("_key", "_mean"), "_key").select("_key", "_h", (F.col("_x") - F.col("_mean")).alias("_x"))
+    added = moved.mapInPandas(_sums(replicates), PARTIAL).select("_key", F.posexplode(F.arrays_zip("_w", "_s1", "_s2")).alias("_r", "_p"))
+    added = added.groupBy("_key", "_r").agg(*[F.sum(f"_p.{c}").alias(c) for c in ("_w", "_s1", "_s2")])
+    lists = added.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_r", "_w", "_s1", "_s2"))).alias("_p"))  # a place for each replicate
+    lists = centre.join(lists, "_key", "left").select("_key", "_n", "_mean", "_var", *[F.col(f"_p.{c}").alias(c) for c in ("_w", "_s1", "_s2")])
     shift = isinstance(statistic, str) and statistic in _SHIFTED
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,9 +113,10 @@ def bootstrap(
                     whole = np.asarray(f(np.array([float(n)]), np.zeros(1), np.array([var * n])), float)[0] + move
                     low, high = _ends(np.asarray(f(np.asarray(w), np.asarray(s1), np.asarray(s2)), float) + move, level) if n > 1 else (None, None)
                 out.append((n, float(whole) if np.isfinite(whole) else None, low, high))
-            yield pd.concat([pdf[own].reset_index(drop=True), pd.DataFrame(out, columns=["n", "estimate", "lower", "upper"]).astype({"estimate": float, "lower": float, "upper": float})], axis=1)
+            told = pd.DataFrame(out, columns=["n", "estimate", "lower", "upper"]).astype({"estimate": float, "lower": float, "upper": float})
+            yield told.assign(_key=pdf["_key"].to_numpy())
 
-    closed = lists.mapInPandas(close, ", ".join([*(f"{c} {kinds[c]}" for c in own), "n long, estimate double, lower double, upper double"]))
+    closed = lists.mapInPandas(close, CLOSED).join(centre.select("_key", *own), "_key")
     return closed.select(*[F.col(c).alias(b) for c, b in zip(own, by, strict=True)], "n", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("estimate", "lower", "upper")])
 
 
@@ -133,22 +133,19 @@ def _bootstrap_median(rows: DataFrame, by: list[str], key: str, value: str, repl
     grid = [i / 256 for i in range(257)]
     marks = live.groupBy(*own).agg(F.percentile_approx("_x", grid, 20_000).alias("_marks"))
     at = lambda c: F.col("_marks")[c.cast("int")]
-    bounds = join_groups(centre, marks, own).withColumn("_a", F.floor((F.lit(0.5) - half) * 256) - 1).withColumn("_b", F.ceil((F.lit(0.5) + half) * 256) + 1)
+    bounds = join_groups(centre, marks, own).withColumn("_key", F.xxhash64(*own, F.lit(1))).withColumn("_a", F.floor((F.lit(0.5) - half) * 256) - 1).withColumn("_b", F.ceil((F.lit(0.5) + half) * 256) + 1)
     bounds = materialize(
-        bounds.select(*own, "n", "_median", F.when(F.col("_a") > 0, at(F.greatest(F.col("_a"), F.lit(0)))).otherwise(float("-inf")).alias("_lo"), F.when(F.col("_b") < 256, at(F.least(F.col("_b"), F.lit(256)))).otherwise(float("inf")).alias("_hi")),
+        bounds.select(*own, "_key", "n", "_median", F.when(F.col("_a") > 0, at(F.greatest(F.col("_a"), F.lit(0)))).otherwise(float("-inf")).alias("_lo"), F.when(F.col("_b") < 256, at(F.least(F.col("_b"), F.lit(256)))).otherwise(float("inf")).alias("_hi")),
         "bootstrap-brackets",
     )
-    placed = join_groups(live, bounds.select(*own, "_lo", "_hi"), own)
-    kinds = dict(live.dtypes)
+    placed = live.join(bounds.select("_key", "_lo", "_hi"), "_key")
     # of every group the draws of all rows and of those below its bracket: two sums a replicate
-    counted = placed.select(*own, "_h", F.when(F.col("_x") < F.col("_lo"), 1.0).otherwise(0.0).alias("_x"))
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), "_w array<double>", "_s1 array<double>", "_s2 array<double>"])
-    partial = counted.mapInPandas(_sums(replicates, own), schema).select(*own, F.posexplode(F.arrays_zip("_w", "_s1")).alias("_r", "_p"))
-    added = partial.groupBy(*own, "_r").agg(F.sum("_p._w").alias("_w"), F.sum("_p._s1").alias("_s1"))
-    lists = added.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("_r", "_w", "_s1"))).alias("_p"))
-    head = join_groups(bounds, lists, own).select(*[F.col(c).alias(f"h{c}") for c in own], "n", "_median", F.col("_p._w").alias("_w"), F.col("_p._s1").alias("_s1"))
-    inside = placed.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select(*own, "_h", "_x")
-    names = [f"h{c}" for c in own]
+    counted = placed.select("_key", "_h", F.when(F.col("_x") < F.col("_lo"), 1.0).otherwise(0.0).alias("_x"))
+    partial = counted.mapInPandas(_sums(replicates), PARTIAL).select("_key", F.posexplode(F.arrays_zip("_w", "_s1")).alias("_r", "_p"))
+    added = partial.groupBy("_key", "_r").agg(F.sum("_p._w").alias("_w"), F.sum("_p._s1").alias("_s1"))
+    lists = added.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_r", "_w", "_s1"))).alias("_p"))
+    head = bounds.join(lists, "_key").select(F.col("_key").alias("key"), "n", "_median", F.col("_p._w").alias("_w"), F.col("_p._s1").alias("_s1"))
+    inside = placed.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select("_key", "_h", "_x")
 
     def close(top: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -169,12 +166,10 @@ def _bootstrap_median(rows: DataFrame, by: list[str], key: str, value: str, repl
                         raise ValueError("a replicate's median lies outside its bracket")
                     stats[r] = x[np.searchsorted(upto[:, i], ranks, "right")].mean()
             low, high = _ends(stats, level) if t["n"] > 1 else (None, None)
-            out.append((*[None if pd.isna(t[c]) else t[c] for c in names], int(t["n"]), float(t["_median"]), low, high))
-        return pd.DataFrame(out, columns=[*own, "n", "estimate", "lower", "upper"]).astype({"lower": float, "upper": float})
+            out.append((t["key"], int(t["n"]), float(t["_median"]), low, high))
+        return pd.DataFrame(out, columns=["_key", "n", "estimate", "lower", "upper"]).astype({"lower": float, "upper": float})
 
-    keyed = lambda df, cols: df.withColumn("_key", F.xxhash64(*cols, F.lit(1)) if cols else F.lit(0).cast("long"))
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), "n long, estimate double, lower double, upper double"])
-    closed = keyed(head, names).groupBy("_key").cogroup(keyed(inside, own).drop(*own).groupBy("_key")).applyInPandas(close, schema)
+    closed = head.groupBy("key").cogroup(inside.groupBy("_key")).applyInPandas(close, CLOSED).join(bounds.select("_key", *own), "_key")
     return closed.select(*[F.col(c).alias(b) for c, b in zip(own, by, strict=True)], "n", "estimate", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("lower", "upper")])
 
 
