@@ -29,6 +29,12 @@ BLOCK = frozenset(
 #: Elements whose content isn't text of the page.
 OUTSIDE = frozenset("head title script style noscript template button select textarea option label iframe object svg math canvas".split())
 CLOSES_P = BLOCK - {"body", "html"}
+#: Of these, the ones that a block inside ends, as it was most likely meant to stand behind them; an option's own kind aside.
+SHORT = ("label", "button", "option")
+#: Where a search for the end of an item stops.
+LISTS = ("ul", "ol", "menu", "table", "select", "dl", "tr")
+#: Elements that shift and lie within each other, at most: deeper ones add nothing to those around them.
+MOST_SHIFTED = 256
 #: Elements whose borders count as distance.
 CONTAINERS = frozenset("article main section div body td blockquote nav aside footer header menu form dialog".split())
 #: Shifts of evidence, in units of the logarithm: by kind of element, and by names of class, id and role.
@@ -55,42 +61,62 @@ STRONG_NAMES, WEAK_NAMES = _names(_SURE), _names(f"{_SURE}|{_LIKELY}")
 
 @dataclass
 class Line:
-    """A block's text, with the tags and characters of links in it, its containers and the numbers of the elements that shift it."""
+    """A block's text, with the tags and characters of links in it, the number of its container and those of the elements that shift it."""
 
     text: str
     tags: int
     linked: int
-    containers: tuple[int, ...]
+    container: int
     shifted: tuple[int, ...]
     heading: bool
 
 
 class PageReader(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page. Places of open elements are kept for each tag, so an event costs as much as it closes, however many are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        #: open elements: tag, containers, whether it or one above is no text, elements that shift
-        self.open: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = [("page", (0,), False, ())]
+        #: open elements: tag, container, whether it or one above is no text, elements that shift
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = [("page", 0, False, ())]
+        #: places in ``open`` by tag, those of all blocks, and how many headings are open
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.headings = 0
         #: tag and shift of each element that shifts
         self.shifts: list[tuple[str, float]] = []
-        self.containers = 1
+        #: the container around each container, and how many lie around it
+        self.around, self.depth = [0], [0]
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these, 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close_from(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        for tag, *_ in reversed(self.open[place:]):
+            self.at[tag].pop()
+            self.headings -= tag in HEADINGS
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.open[place:]
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        _, containers, _, shifted = self.open[-1]
+        _, container, _, shifted = self.open[-1]
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, containers, shifted, any(t in HEADINGS for t, *_ in self.open)))
+            self.lines.append(Line(text, self.tags, self.linked, container, shifted, self.headings > 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
+            while tag not in ("option", "optgroup") and (short := self.last(*SHORT)) and short >= self.last("td", "th"):
+                self.close_from(short)
             if tag in CLOSES_P and self.open[-1][0] == "p":
-                self.open.pop()
+                self.close_from(len(self.open) - 1)
             if tag in ("li", "option", "dt", "dd", "tr", "td", "th"):
                 self._close_sibling(tag)
         else:
@@ -99,9 +125,9 @@ class PageReader(HTMLParser):
                 self.parts.append(" ")
         if tag in VOID:
             return
-        _, containers, outside, shifted = self.open[-1]
-        above = {t for t, *_ in self.open}
-        shift = 0.0 if (tag == "header" and above & {"article", "main"}) or (tag in ("article", "main") and above & {"article", "main"}) else SHIFTS.get(tag, 0.0)
+        _, container, outside, shifted = self.open[-1]
+        held = self.last("article", "main") > 0
+        shift = 0.0 if tag in ("header", "article", "main") and held else SHIFTS.get(tag, 0.0)
         outside = outside or tag in OUTSIDE
         for k, v in attrs:
             if k in ("class", "id", "role") and v and tag not in ("body", "html", "main"):
@@ -109,24 +135,25 @@ class PageReader(HTMLParser):
                 shift = min([shift, *named])
             elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)):
                 outside = True
-        if shift:
+        if shift and len(shifted) < MOST_SHIFTED:
             shifted = (*shifted, len(self.shifts))
             self.shifts.append((tag, shift))
         if tag in CONTAINERS:
-            containers = (*containers, self.containers)
-            self.containers += 1
-        self.open.append((tag, containers, outside, shifted))
+            self.around.append(container)
+            self.depth.append(self.depth[container] + 1)
+            container = len(self.around) - 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.headings += tag in HEADINGS
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, container, outside, shifted))
 
     def _close_sibling(self, tag: str) -> None:
         """An item ends where the next of its list begins."""
         ends = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,))
-        for i in range(len(self.open) - 1, 0, -1):
-            t = self.open[i][0]
-            if t in ends:
-                del self.open[i:]
-                return
-            if t in ("ul", "ol", "menu", "table", "select", "dl", "tr") and not (tag == "tr" and t == "table"):
-                return
+        place = self.last(*ends)
+        if place and place >= self.last(*[t for t in LISTS if (tag, t) != ("tr", "table")]):
+            self.close_from(place)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,18 +165,18 @@ class PageReader(HTMLParser):
             self.flush()
         else:
             self.tags += 1
-        for i in range(len(self.open) - 1, 0, -1):
-            t = self.open[i][0]
-            if t == tag:
-                del self.open[i:]
-                return
-            if tag not in BLOCK and t in BLOCK:  # an inline end doesn't close blocks
-                return
+        place = self.last(tag)
+        if not place:
+            return
+        # an inline end doesn't close blocks, but that of an element without text closes it, except across a table's cell
+        inner = self.last("td", "th") if tag in OUTSIDE else self.blocks[-1] if self.blocks and tag not in BLOCK else 0
+        if place >= inner:
+            self.close_from(place)
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][2]:
             self.parts.append(data)
-            if any(t == "a" for t, *_ in self.open):
+            if self.at.get("a"):
                 self.linked += len(data.strip())
 
 
@@ -177,12 +204,17 @@ def two_clusters(x: np.ndarray) -> float:
     return t
 
 
-def places(lines: list[Line]) -> np.ndarray:
+def places(lines: list[Line], around: list[int], depth: list[int]) -> np.ndarray:
     """Where each line is: one after the line before, and one more for each container that ends or begins between them."""
     step = [0]
     for a, b in zip(lines, lines[1:], strict=False):
-        same = next((i for i, (x, y) in enumerate(zip(a.containers, b.containers, strict=False)) if x != y), min(len(a.containers), len(b.containers)))
-        step.append(1 + len(a.containers) + len(b.containers) - 2 * same)
+        x, y = a.container, b.container
+        while x != y:  # the deeper one climbs; all that is climbed lies between the two lines
+            if depth[x] >= depth[y]:
+                x = around[x]
+            else:
+                y = around[y]
+        step.append(1 + depth[a.container] + depth[b.container] - 2 * depth[x])
     return np.cumsum(step)
 
 
@@ -193,13 +225,16 @@ def shifts_of(lines: list[Line], shifts: list[tuple[str, float]]) -> np.ndarray:
     page without either, one that holds more than half of the text, unless its very kind says so.
     """
     size, total = [0] * len(shifts), sum(len(x.text) for x in lines)
-    inside: dict[int, set[int]] = {}
     for x in lines:
         for e in x.shifted:
             size[e] += len(x.text)
-            inside[e] = inside.get(e, set(x.shifted)) & set(x.shifted)
-    tops = [e for e in inside if shifts[e][0] == "article"] or [e for e in inside if shifts[e][0] == "main"]
-    around = set.intersection(*(inside[e] for e in tops)) - set(tops) if tops else set()
+    held = [e for e, n in enumerate(size) if n]
+    tops = {e for e in held if shifts[e][0] == "article"} or {e for e in held if shifts[e][0] == "main"}
+    around: set[int] | None = None  # elements that hold all lines of these; few of which lie within each other
+    for x in lines:
+        if not tops.isdisjoint(x.shifted):
+            around = set(x.shifted) if around is None else around.intersection(x.shifted)
+    around = (around or set()) - tops
     large = {e for e, n in enumerate(size) if not tops and 2 * n > total and shifts[e][0] not in KINDS}
     value = [0.0 if s < 0 and (e in around or e in large) else s for e, (_, s) in enumerate(shifts)]
     return np.array([min([0.0, *(value[e] for e in x.shifted)]) + max([0.0, *(value[e] for e in x.shifted)]) for x in lines])
@@ -227,7 +262,7 @@ def main_text(html: str | None) -> str:
     lines = reader.lines
     if not lines:
         return ""
-    at, shift = places(lines), shifts_of(lines, reader.shifts)
+    at, shift = places(lines, reader.around, reader.depth), shifts_of(lines, reader.shifts)
     ratio = smooth(np.array([(len(x.text) - min(x.linked, len(x.text))) / (1 + x.tags) for x in lines], float), at)
     evidence = np.log1p(ratio) + shift + HEADING_SHIFT * np.array([x.heading for x in lines])
     threshold = two_clusters(evidence)

@@ -105,3 +105,24 @@ def test_pages_of_the_tables_keep_their_articles(spark):
         if body:
             blocks = [html.main_text(f"<article><p>{x}</p></article>") for x in re.split(r"</?(?:p|h1)>", body[1])]
             assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+FIRST, SECOND, THIRD = (f"The {n} paragraph of the article stands here, and it is long enough to be read as text." for n in ("first", "second", "third"))
+
+
+def test_unclosed_short_elements_lose_nothing_behind_them():
+    want = "\n\n".join((FIRST, SECOND, THIRD))
+    for between in ("<select><option>a<option>b</select>", "<select><option selected>a</select>", "<button>Go", "<label>Name", "<label>Name<option>x", "<svg><g><title>t</svg>", "<textarea>x</textarea>", "<select><optgroup><option>a</select>"):
+        assert html.main_text(f"<article><p>{FIRST}</p>{between}<p>{SECOND}</p><p>{THIRD}</p></article>") == want, between
+    # the end of an element without text closes what is open in it, but not across a table's cell
+    assert html.main_text(f"<article><p>{FIRST}</p><object><table><tr><td></object>x</td></tr></table></object><p>{SECOND}</p><p>{THIRD}</p></article>") == want
+
+
+def test_time_grows_with_the_page_whatever_is_open():
+    import time
+
+    pages = ["<b>x " * 100_000, "<div>x " * 100_000, "<p><font>some words " * 50_000, ("<i><p>" + "<b>" * 50_000) + "</i>x" * 50_000, "<aside>x " * 20_000, "<li>x" * 50_000]
+    began = time.perf_counter()
+    for page in pages:
+        html.main_text(page)
+    assert time.perf_counter() - began < 60
