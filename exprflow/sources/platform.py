@@ -63,7 +63,7 @@ def read_annotation(spark: SparkSession, path: str, gene: str | None = None) ->
     if head is None:
         raise ValueError(f"no table in {path}")
     names = [n.strip().strip('"') for n in head.value.split("\t")]
-    body = rows.where(F.col("at") != head.at).select(_fields(F.col("value")).alias("parts"))
+    body = rows.where((F.col("at.block") != head.at.block) | (F.col("at.id") != head.at.id)).select(_fields(F.col("value")).alias("parts"))
     return annotation(body.select(*[F.try_element_at("parts", F.lit(k + 1)).alias(n) for k, n in enumerate(names)]), gene)
 
 
