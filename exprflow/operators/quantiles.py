@@ -26,7 +26,8 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float],
 
     A mergeable sketch, whose ranks are off by a share of 1 / ``accuracy`` at most, brackets each quantile; the values below a bracket are
     counted by partial sums, and only those within it, 6 / ``accuracy`` of a group or groups of up to five times ``accuracy`` whole, are
-    ordered. A rank outside its bracket would be an error, never a guess. Nulls are left out, NaN is the largest value.
+    ordered. Both come from one pass, as a sketch that is computed again can differ by the order in which its parts arrive. A rank outside its
+    bracket would be an error, never a guess. Nulls are left out, NaN is the largest value.
     """
     margin, v = 3 / accuracy, F.col("__v")
     live = rows.select(*[F.col(f"`{c}`") for c in by], F.col(f"`{value}`").cast("double").alias("__v"))
@@ -38,12 +39,11 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float],
     groups = sketch.select(*by, "n", *[c.alias(f"__lo{k}") for k, c in enumerate(low)], *[c.alias(f"__hi{k}") for k, c in enumerate(high)])
     placed = join_groups(live.where(v.isNotNull()), groups, by)
 
-    below = placed.groupBy(*by).agg(*[F.count_if(v < F.col(f"__lo{k}")).alias(f"__below{k}") for k in range(len(at))])
-    hit = F.array_compact(F.array(*[F.when((v >= F.col(f"__lo{k}")) & (v <= F.col(f"__hi{k}")), F.lit(k)) for k in range(len(at))]))
-    inside = placed.select(*by, "n", "__v", F.explode(hit).alias("__k")).groupBy(*by, "n", "__k", "__v").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = join_groups(inside.withColumn("__upto", upto), below, by)
-    start = F.element_at(F.array(*[F.col(f"__below{k}") for k in range(len(at))]), F.col("__k") + 1) + F.col("__upto") - F.col("__c")
+    upto_high = [F.when(v <= F.col(f"__hi{k}"), F.struct(F.lit(k).alias("k"), F.when(v >= F.col(f"__lo{k}"), v).alias("v"))) for k in range(len(at))]
+    met = placed.select(*by, "n", F.explode(F.array_compact(F.array(*upto_high))).alias("__m")).select(*by, "n", F.col("__m.k").alias("__k"), F.col("__m.v").alias("__v"))
+    inside = met.groupBy(*by, "n", "__k", "__v").agg(F.count("*").alias("__c"))  # one null a bracket for all below it, which comes first
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = upto - F.col("__c")
     place = F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("__k") + 1) * (F.col("n") - 1)
     ranked = inside.withColumn("__start", start).withColumn("__p", place)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from exprflow.operators.quantiles import exact_quantiles
@@ -35,3 +36,22 @@ def test_special_values_and_empty(spark):
     q = exact_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", [0.0, 1 / 3, 1.0]).first().q
     assert q[0] == float("-inf") and q[1] == 1.0 and math.isnan(q[2])
     assert exact_quantiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", [0.5]).count() == 0
+
+
+def test_rows_in_another_order_each_time_they_are_read(spark):
+    """As on a cluster, where a sketch that is computed again meets its parts in another order."""
+    parts = [np.random.default_rng(i).normal(size=120_000) for i in range(3)]
+
+    def shuffled(batches):
+        for b in batches:
+            for i in b["id"]:
+                yield pd.DataFrame({"g": "g", "x": np.random.default_rng().permutation(np.random.default_rng(i).normal(size=120_000))})
+
+    rows = spark.range(0, 3, numPartitions=3).mapInPandas(shuffled, "g string, x double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = [exact_quantiles(rows, ["g"], "x", AT, 100).first().q for _ in range(3)]
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for q in found:
+        np.testing.assert_allclose(q, np.quantile(np.concatenate(parts), AT), rtol=1e-12)
