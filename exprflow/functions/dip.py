@@ -113,18 +113,20 @@ def normal_mixture(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[float, np
     shares = np.maximum(np.bincount(near, weight, k) / total, 1e-12)
     var = np.bincount(near, weight * (x - means[near]) ** 2, k) / np.maximum(shares * total, 1e-300) + floor
     last = -math.inf
-    for _ in range(EM_STEPS):
-        logs = np.log(shares) - 0.5 * (np.log(2 * np.pi * var) + (x[:, None] - means) ** 2 / var)
-        top = logs.max(1, keepdims=True)
-        like = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-        score = float((weight * like).sum())
+    for _ in range(EM_STEPS):  # a row a normal
+        off = (x - means[:, None]) ** 2
+        logs = (np.log(shares) - 0.5 * np.log(2 * np.pi * var))[:, None] - 0.5 * off / var[:, None]
+        top = logs.max(0)
+        share = np.exp(logs - top)
+        sums = share.sum(0)
+        score = float(weight @ (top + np.log(sums)))
         if score - last < EM_GAIN * total:
             break
         last = score
-        share = np.exp(logs - like[:, None]) * weight[:, None]
-        sums = np.maximum(share.sum(0), 1e-300)
-        shares, means = np.maximum(sums / total, 1e-12), (share * x[:, None]).sum(0) / sums
-        var = (share * (x[:, None] - means) ** 2).sum(0) / sums + floor
+        share *= weight / sums
+        sums = np.maximum(share.sum(1), 1e-300)
+        shares, means = np.maximum(sums / total, 1e-12), share @ x / sums
+        var = (share * (x - means[:, None]) ** 2).sum(1) / sums + floor
     return score, shares, means, np.sqrt(var)
 
 

@@ -1,14 +1,14 @@
 """Distribution classes of genes, from moments and a fine histogram of each: no gene's values meet in one task.
 
-Each gene's values are counted in ``BINS`` bins of its range, each kept with the mean of what fell into it; a bounded table a gene, whatever
-the number of samples, gives the density and the likelihoods. Bins of a range say little of heavy tails, so the dip test and the mixtures see distinct values with their counts, or
-of a gene with more than ``BINS`` values its quantiles at as many equal steps, from a mergeable sketch.
+A gene with up to ``BINS`` values is a table of its distinct values with their counts; the values of others are counted in ``BINS`` bins of the gene's range, each kept with the
+mean of what fell into it. This bounded table, whatever the number of samples, gives the density and the likelihoods. Bins of a range say little of heavy tails, so the dip test and
+the mixtures see the distinct values or, of a gene with more than ``BINS``, its quantiles at as many equal steps, from a mergeable sketch that only such genes need.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dip
+from ..session import materialize
 
 BINS, GRID, SKETCH = 2048, 512, 20_000
 #: Least numbers and limits of the classes, in the order of the rules.
 LEAST_N, CONSTANT_SD, DIP_P, PROMINENCE, VALLEY, PAD = 20, 1e-6, 0.05, 0.15, 0.75, 0.10
 MODAL = ("Bimodal", "Multimodal")
+#: A gene's figures, in the order they travel in, and the counts that mark the rows of figures and of quantiles.
+FIGURES, FIGURES_ROW, MARKS_ROW = ("n", "low", "high", "mean", "sd", "mean_log", "sd_log"), -1, -2
 
 
 def peaks(y: np.ndarray, prominence: float) -> np.ndarray:
@@ -59,13 +62,16 @@ def _cauchy(x: np.ndarray, n: np.ndarray) -> float:
     q = np.interp(np.array([0.25, 0.5, 0.75]) * total, np.cumsum(n[order]), x[order])
     m, s = q[1], max((q[2] - q[0]) / 2, 1e-9)
     for _ in range(300):
+        was = m, s
         w = 2 / (1 + ((x - m) / s) ** 2) * n
-        m = (w * x).sum() / w.sum()
-        s = max(math.sqrt((w * (x - m) ** 2).sum() / total), 1e-12)
+        m = (w @ x) / w.sum()
+        s = max(math.sqrt((w @ (x - m) ** 2) / total), 1e-12)
+        if abs(m - was[0]) + abs(s - was[1]) <= 1e-13 * s:  # settled
+            break
     return float(-(n * np.log(math.pi * s * (1 + ((x - m) / s) ** 2))).sum())
 
 
-def _likeliest(x: np.ndarray, c: np.ndarray, s: pd.Series) -> str:
+def _likeliest(x: np.ndarray, c: np.ndarray, s: dict) -> str:
     n = float(s["n"])
     scores = {"Normal": -n / 2 * (math.log(2 * math.pi * s["sd"] ** 2) + 1)}
     if s["low"] > 0:
@@ -97,28 +103,37 @@ def uniform_dips(spark: SparkSession, sizes: tuple[int, ...] = dip.NULL_SIZES, d
 _NULLS: dict[tuple, dict[int, np.ndarray]] = {}
 
 
-def _classify(pdf: pd.DataFrame, nulls: dict[int, np.ndarray] | None) -> str:
-    exact, pdf = pdf[pdf["exact"]], pdf[~pdf["exact"]]
-    s = pdf.iloc[0]
+def _binned(v: np.ndarray, w: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of the bins of the range that distinct values ``v`` with counts ``w`` fall into."""
+    at = np.floor((v - low) / (high - low) * BINS).astype(int)
+    at -= at.min()
+    c = np.bincount(at, w)
+    held = c > 0
+    return np.bincount(at, w * v)[held] / c[held], c[held]
+
+
+def _classify(v: np.ndarray, w: np.ndarray, s: dict, knots: np.ndarray | None, nulls: dict[int, np.ndarray] | None) -> str:
+    """The class of a gene from its distinct values or bins ``v`` with counts ``w``, its figures ``s``, and its quantiles if it has more than ``BINS`` values."""
     if s["n"] < LEAST_N:
         return "Not Enough Data"
     if s["sd"] < CONSTANT_SD:
         return "Effectively Constant"
-    x, c = pdf["x"].to_numpy(float), pdf["c"].to_numpy(float)
-    n, span = c.sum(), s["high"] - s["low"]
+    n, span = float(s["n"]), s["high"] - s["low"]
+    x, c = _binned(v, w, s["low"], s["high"]) if n <= BINS else (v, w)
     if nulls:
         if n <= BINS:
-            v, w = exact["x"].to_numpy(float), exact["c"].to_numpy(float)
             depth = dip.dip(v, w, n)
         else:
-            knots = np.asarray(next(m for m in pdf["marks"] if m is not None), float)
             v, w = (knots[1:] + knots[:-1]) / 2, np.full(len(knots) - 1, n / (len(knots) - 1))
             depth = max(1 / (2 * n), dip.knot_dip(knots, n) - (1 / SKETCH if n > SKETCH else 0.0))  # what the sketch may be off
         if dip.dip_p_value(depth, n, nulls) < DIP_P:
             return "Multimodal" if dip.n_components(v, w) >= 3 else "Bimodal"
     width = n ** (-1 / 5) * s["sd"] * math.sqrt(n / (n - 1))  # Scott's rule
     grid = np.linspace(s["low"] - PAD * span, s["high"] + PAD * span, GRID)
-    density = (np.exp(-0.5 * ((grid[:, None] - x) / width) ** 2) * c).sum(1)
+    off = (grid[:, None] - x) / width
+    off *= off
+    off *= -0.5
+    density = np.exp(off, out=off) @ c
     at = peaks(density, PROMINENCE * density.max())
     if len(at) >= 3:
         return "Multimodal"
@@ -138,26 +153,64 @@ def distribution_classes(expr: DataFrame, genes: Iterable[str] | None = None, di
     if genes is not None:  # as many as a caller names
         expr = expr.where(F.upper("gene").isin([str(g).upper() for g in genes]))
     nulls = uniform_dips(expr.sparkSession) if dip_test else None
-    rows = expr.where(F.col("value").isNotNull() & (F.abs("value") < float("inf"))).select("gene", F.col("value").cast("double").alias("value"))
+    live = F.col("gene").isNotNull() & F.col("value").isNotNull() & (F.abs("value") < float("inf"))
+    rows = expr.where(live).select("gene", F.col("value").cast("double").alias("value"))
     log = F.when(F.col("value") > 0, F.log("value"))
     stats = rows.groupBy("gene").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("sd"), F.avg(log).alias("mean_log"), F.stddev_pop(log).alias("sd_log"),
-        (F.percentile_approx("value", [i / BINS for i in range(BINS + 1)], SKETCH) if dip_test else F.lit(None).cast("array<double>")).alias("marks"),
     )
-    bin_ = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(0))
-    placed = rows.join(stats.select("gene", "n", "low", "high"), "gene")
-    bins = placed.groupBy("gene", bin_.alias("bin")).agg(F.count("*").alias("c"), F.avg("value").alias("x")).select("gene", "c", "x", F.lit(False).alias("exact"), (F.col("bin") == 0).alias("first"))
-    few = placed.where(F.col("n") <= BINS).groupBy("gene", F.col("value").alias("x")).agg(F.count("*").alias("c")).select("gene", "c", "x", F.lit(True).alias("exact"), F.lit(False).alias("first"))
-    if dip_test:
-        bins = bins.unionByName(few)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "n": [pdf["n"].iloc[0]], "distribution": [_classify(pdf, nulls)]})
-
-    # the first bin, which every gene has, carries the quantiles
-    met = bins.join(stats, "gene").withColumn("marks", F.when(F.col("first"), F.col("marks"))).drop("first")
-    return met.groupBy("gene").applyInPandas(one, "gene string, n long, distribution string")
+    stats = materialize(stats, "distribution-figures")  # a row a gene
+    placed = rows.join(stats.select("gene", "low", "high", (F.col("n") <= BINS).alias("exact")), "gene")
+    bin_ = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(0)).cast("double")
+    table = placed.groupBy("gene", "exact", F.when(F.col("exact"), F.col("value")).otherwise(bin_).alias("at")).agg(F.count("*").alias("c"), F.avg("value").alias("mean"))
+    table = table.select("gene", F.when(F.col("exact"), F.col("at")).otherwise(F.col("mean")).alias("x"), "c", F.lit(None).cast("array<double>").alias("told"))
+
+    def beside(told: DataFrame, kind: int) -> DataFrame:
+        return told.select("gene", F.lit(0.0).alias("x"), F.lit(kind).cast("long").alias("c"), "told")
+
+    parts = table.unionByName(beside(stats.select("gene", F.array(*[F.col(k).cast("double") for k in FIGURES]).alias("told")), FIGURES_ROW))
+    if dip_test and not stats.where(F.col("n") > BINS).isEmpty():
+        sketch = F.percentile_approx("value", [i / BINS for i in range(BINS + 1)], SKETCH).alias("told")
+        parts = parts.unionByName(beside(placed.where("not exact").groupBy("gene").agg(sketch), MARKS_ROW))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for genes_ in _whole_genes(batches):
+            yield pd.DataFrame([_of_gene(g, x, c, told, nulls) for g, x, c, told in genes_], columns=["gene", "n", "distribution"])
+
+    # a table of at most BINS + 2 rows a gene, in order of genes: a batch holds many
+    return parts.repartition("gene").sortWithinPartitions("gene").mapInPandas(run, "gene string, n long, distribution string")
+
+
+def _whole_genes(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The columns of each gene of batches in order of genes, whose last gene may go on in the next batch."""
+    left: list[tuple] = []
+    for b in batches:
+        if not len(b):
+            continue
+        gene, columns = b["gene"].to_numpy(), [b[k].to_numpy() for k in ("x", "c", "told")]
+        cuts = [0, *(np.flatnonzero(gene[1:] != gene[:-1]) + 1).tolist(), len(gene)]
+        found = [(gene[i], *[k[i:j] for k in columns]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        if left and left[0][0] != found[0][0]:
+            yield [_joined(left)]
+            left = []
+        if len(found) > 1:
+            yield [_joined([*left, found[0]]), *found[1:-1]]
+            left = []
+        left.append(found[-1])
+    if left:
+        yield [_joined(left)]
+
+
+def _joined(pieces: list[tuple]) -> tuple:
+    return pieces[0] if len(pieces) == 1 else (pieces[0][0], *[np.concatenate(k) for k in list(zip(*pieces, strict=True))[1:]])
+
+
+def _of_gene(gene: str, x: np.ndarray, c: np.ndarray, told: np.ndarray, nulls: dict[int, np.ndarray] | None) -> tuple[str, int, str]:
+    s = dict(zip(FIGURES, told[c == FIGURES_ROW][0].tolist(), strict=True))
+    knots = told[c == MARKS_ROW]
+    held = c > 0
+    return gene, int(s["n"]), _classify(x[held].astype(float), c[held].astype(float), s, np.asarray(knots[0], float) if len(knots) else None, nulls)
 
 
 def distribution_summary(classes: DataFrame) -> DataFrame:

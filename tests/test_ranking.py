@@ -31,6 +31,21 @@ def test_distribution_classes_of_planted_genes(spark):
     assert ds.distribution_classes(spark.createDataFrame([], "gene string, value double")).count() == 0
 
 
+def test_small_genes_need_no_sketch_and_may_span_batches(spark):
+    rng = np.random.default_rng(12)
+    genes = {f"g{i}": rng.normal(0, 1, 60) if i % 2 else np.concatenate([rng.normal(0, 0.5, 40), rng.normal(9, 0.5, 40)]) for i in range(8)}
+    rows = spark.createDataFrame([(g, float(x)) for g, v in genes.items() for x in v] + [(None, 1.0)] * 30, "gene string, value double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        classes = ds.distribution_classes(rows)
+        got = {r.gene: (r.n, r.distribution) for r in classes.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {g: n for g, (n, _) in got.items()} == {g: len(v) for g, v in genes.items()}
+    assert {g for g, (_, c) in got.items() if c == "Bimodal"} == {g for g in genes if int(g[1:]) % 2 == 0}
+    assert "percentile_approx" not in classes._jdf.queryExecution().toString()
+
+
 def test_peaks_by_prominence():
     y = np.array([0, 1, 0.9, 3, 0, 2, 0, 0.1, 0])
     assert ds.peaks(y, 0.05).tolist() == [1, 3, 5, 7] and ds.peaks(y, 0.15).tolist() == [3, 5] and ds.peaks(y, 2.5).tolist() == [3]
