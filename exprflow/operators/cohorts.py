@@ -89,7 +89,7 @@ def pseudo_cohorts(vectors: DataFrame, key: str, vector: str, ks: Iterable[int],
     points = finite_points(vectors, key, vector, "cohort-vectors")
     best = None
     for k in sorted(set(ks)):
-        if k < 2 or len(points.select("features").distinct().head(k)) < k:
+        if k < 2 or not _has_different(points.select("features"), k):
             continue
         placed = KMeans(k=k, seed=seed, predictionCol="cluster").fit(points).transform(points)
         score = ClusteringEvaluator(predictionCol="cluster").evaluate(placed)
@@ -100,6 +100,11 @@ def pseudo_cohorts(vectors: DataFrame, key: str, vector: str, ks: Iterable[int],
     return best[2].select(key, "cluster", F.lit(best[1]).alias("k"))
 
 
+def _has_different(rows: DataFrame, k: int) -> bool:
+    """Whether there are ``k`` different rows: as a rule the first ones tell, else all are compared."""
+    return len(set(rows.head(4 * k))) >= k or len(rows.distinct().head(k)) >= k
+
+
 def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, replicates: int = 50, share: float = 0.8, seed: int = 0) -> DataFrame:
     """(cluster, bootstrap_jaccard) of the clusters in ``placed`` (key, cluster).
 
@@ -113,12 +118,13 @@ def stability(vectors: DataFrame, placed: DataFrame, key: str, vector: str, repl
     def replicate(r: int) -> list[tuple]:
         u = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
         drawn = points.where(u < share)
-        if k < 2 or len(drawn.select("features").distinct().head(k)) < k:
+        if k < 2 or not _has_different(drawn.select("features"), k):
             again = drawn.withColumn("again", F.lit(0))
         else:
             again = KMeans(k=k, seed=seed + r, predictionCol="again").fit(drawn.select("features")).transform(drawn)
         n = again.groupBy("base", "again").agg(F.count("*").alias("n"))
-        both = n.join(n.groupBy("base").agg(F.sum("n").alias("n1")), "base").join(n.groupBy("again").agg(F.sum("n").alias("n2")), "again")
+        of = lambda c: F.sum("n").over(Window.partitionBy(c))  # noqa: E731  windows over pairs of clusters, so the points are placed once
+        both = n.select("base", "n", of("base").alias("n1"), of("again").alias("n2"))
         one = both.groupBy("base").agg(F.max(F.col("n") / (F.col("n1") + F.col("n2") - F.col("n"))).alias("j"))
         return [tuple(x) for x in one.collect()]  # a row a cluster
 

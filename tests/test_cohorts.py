@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from exprflow.operators import cohorts
@@ -45,6 +46,14 @@ def test_stability_of_separate_and_of_random_clusters(spark):
     assert min(good.values()) >= 0.8 > max(bad.values()) and len(good) == 3
 
 
+def test_different_rows_are_found_without_a_shuffle(spark):
+    many = spark.createDataFrame([(Vectors.dense([float(i)]),) for i in range(50)], ["features"])
+    late = spark.createDataFrame([(Vectors.dense([float(max(0, i - 90))]),) for i in range(95)], ["features"])
+    assert cohorts._has_different(many, 50) and not cohorts._has_different(many, 51)
+    assert cohorts._has_different(late, 5) and not cohorts._has_different(late, 6)
+    assert not cohorts._has_different(many.limit(0), 2)
+
+
 def test_principal_components_explain_what_numpy_says(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(80, 5)) @ np.diag([1, 5, 2, 1, 1]) @ rng.normal(size=(5, 5))
