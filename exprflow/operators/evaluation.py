@@ -49,9 +49,19 @@ def apply_corrections(values: DataFrame, corrections: DataFrame) -> DataFrame:
     return both.select("gsm", "field", F.when(F.col("_fix"), F.col("suggest")).otherwise(F.col("value")).alias("value"), was.alias("was"), "reason", "quote")
 
 
+def _told(field: str) -> Column:
+    return F.trim(F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")))
+
+
 def _long(rows: DataFrame, key: str, fields: list[str], value: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))).alias(value)) for f in fields])
-    return rows.select(sample_key(F.col(key)).alias("gsm"), F.explode(cells).alias("p")).select("gsm", f"p.field", f"p.{value}")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), _told(f).alias(value)) for f in fields])
+    return rows.select(sample_key(F.col(key)).alias("gsm"), F.explode(cells).alias("p")).select("gsm", "p.field", f"p.{value}")
+
+
+def _pairs(met: DataFrame, fields: list[str]) -> DataFrame:
+    """(gsm, field, was, value) of rows that met (l, r) with the values of all fields: rows meet whole and are spread by field afterwards."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l._f{i}").alias("was"), F.col(f"r._f{i}").alias("value")) for i, f in enumerate(fields)])
+    return met.select("l.gsm", F.explode(cells).alias("p")).select("gsm", "p.field", "p.was", "p.value")
 
 
 def prediction_items(first: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -61,21 +71,20 @@ def prediction_items(first: DataFrame, key: str, fields: list[str]) -> DataFrame
 
 def correction_items(first: DataFrame, second: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(gsm, field, was, value): fields that said nothing in the first phase and something in the second; of a repeated sample of the second the first value in order counts."""
-    later = _long(second, key, fields, "value").groupBy("gsm", "field").agg(F.min("value").alias("value"))
-    met = _long(first, key, fields, "was").join(later, ["gsm", "field"])
+    gsm, told = sample_key(F.col(key)).alias("gsm"), [_told(f).alias(f"_f{i}") for i, f in enumerate(fields)]
+    later = second.select(gsm, *told).groupBy("gsm").agg(*[F.min(f"_f{i}").alias(f"_f{i}") for i in range(len(fields))])
+    met = _pairs(first.select(gsm, *told).alias("l").join(later.alias("r"), F.col("l.gsm") == F.col("r.gsm")), fields)
     return met.where(is_missing(F.col("was")) & ~is_missing(F.col("value"))).select("gsm", "field", "was", "value")
 
 
 def normalization_items(raw: DataFrame, normal: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(gsm, field, was, value): values that said something and were changed; samples are paired by id, repeated ones by the order of all their values."""
 
-    def numbered(rows: DataFrame, value: str) -> DataFrame:
+    def numbered(rows: DataFrame) -> DataFrame:
         copy = F.row_number().over(Window.partitionBy(sample_key(F.col(key))).orderBy(*[F.col(f"`{f}`") for f in fields]))
-        cells = F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))).alias(value)) for f in fields])
-        return rows.select(sample_key(F.col(key)).alias("gsm"), copy.alias("copy"), F.explode(cells).alias("p")).select("gsm", "copy", "p.field", f"p.{value}")
+        return rows.select(sample_key(F.col(key)).alias("gsm"), copy.alias("copy"), *[_told(f).alias(f"_f{i}") for i, f in enumerate(fields)])
 
-    a, b = numbered(raw, "was"), numbered(normal, "value")
-    met = a.alias("l").join(b.alias("r"), same_keys("l", "r", ["gsm", "copy", "field"])).select("l.gsm", "l.field", "l.was", "r.value")
+    met = _pairs(numbered(raw).alias("l").join(numbered(normal).alias("r"), same_keys("l", "r", ["gsm", "copy"])), fields)
     return met.where((F.col("was") != F.col("value")) & ~is_missing(F.col("was")))
 
 

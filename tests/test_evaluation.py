@@ -48,6 +48,15 @@ def test_items_and_diversity(spark):
     assert table == {"Tissue": (1, 2, -1, -100.0, 2), "Age": (2, 2, 0, 0.0, 1)}
 
 
+def test_rows_meet_before_they_are_spread_by_field(spark):
+    schema = "GSM string, Tissue string, Age string"
+    a = spark.createDataFrame([("m1", "x", None), ("m1", "w", "-"), (None, "p", "1")], schema)
+    b = spark.createDataFrame([("m1", "z", "2"), ("m1", "y", "1"), (None, "q", "1")], schema)
+    for items, want in ((ev.correction_items(a, b, "GSM", ["Tissue", "Age"]), [("M1", "Age", "", "1"), ("M1", "Age", "-", "1")]), (ev.normalization_items(a, b, "GSM", ["Tissue", "Age"]).where("gsm is null"), [(None, "Tissue", "p", "q")])):
+        assert got(items) == want
+        assert not any("Join" in line and "field" in line for line in items._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_forms_tiers_and_registration(spark):
     clusters = spark.createDataFrame([("T", "Lung", "Cell line: A-549"), ("T", "Lung", " "), ("T", "Liver", "a 549"), ("T", None, "x"), ("C", "Lung", None)], "col string, cluster string, raw string")
     table = {(r.col, r.raw): r.cluster for r in rc.cluster_map(clusters).collect()}
